@@ -60,11 +60,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         recipes = _recipes_past_collisions(lists, shared, hash_bits)
 
     groups = recipes.groupBy("recipe").agg(F.max(F.struct("_id", "_row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    # a join of two plain shuffles, in which a recipe that very many documents share is split
+    repeated = cut(groups.filter("group_size > 1"))
+    return recipes.join(repeated, "recipe", "left").select(
         F.col("_id").alias(id_col),
-        F.col("best._id").alias("keep_id"),
-        "group_size",
-        (F.col("_row") == F.col("best._row")).alias("kept"),
+        F.when(F.col("best").isNull(), F.col("_id")).otherwise(F.col("best._id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("best").isNull() | (F.col("_row") == F.col("best._row"))).alias("kept"),
         "text_sha256",
         "n_chunks",
     )

@@ -227,7 +227,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("_sha"), F.octet_length(html).alias("_n"))
     first = rows.filter(F.col("_n") >= least).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_same"))
-    first = first.filter("_same > 1").select("_sha", "_first")
+    first = cut(first.filter("_same > 1").select("_sha", "_first"))
     marked = rows.join(first, "_sha", "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return marked.select("page_id", "url", "html", refers.cast("long").alias("refers_to")).sortWithinPartitions("page_id", "url")
