@@ -35,7 +35,7 @@ ASIDE_WORDS = {
     "related", "replies", "reply", "respond", "rail", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
     "subscribe", "taboola", "tags", "toolbar", "topbar", "warning", "widget", "widgets",
 }
-ARTICLE_WORDS = {"articlebody", "main"}
+ARTICLE_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -59,6 +59,7 @@ _PLAIN = (
     (4, 0.0, 3, 1.0, 2, 1.0, 1, 0), (3, 0.0, 40, 0.0, 4, 1.0, 1, 0), (70, 0.8, 2, 1.0, 60, 0.9, 0, 0), (5, 0.0, 40, 0.0, 14, 0.0, 0, 1),
     (8, 0.0, 8, 0.0, 8, 0.0, 0, 1), (7, 0.0, 11, 0.0, 6, 0.0, 0, 1), (11, 0.0, 0, 0.0, 7, 0.0, 0, 1), (16, 0.4, 50, 0.0, 60, 0.0, 0, 1),
     (200, 0.0, 0, 0.0, 0, 0.0, 0, 1), (1, 0.0, 90, 0.0, 90, 0.0, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0), (30, 0.9, 10, 0.0, 12, 0.0, 0, 0),
+    (3, 0.0, 0, 0.0, 40, 0.0, 1, 1), (4, 0.0, 0, 0.0, 14, 0.0, 1, 1), (2, 0.0, 60, 0.0, 50, 0.0, 1, 1), (12, 0.0, 20, 0.0, 3, 1.0, 0, 1),
 )
 #: The labelled table: a row a block, FEATURES in order and then 1 for article text. In a named part nothing is, in the
 #: article everything else, and outside the article of a page that has one nothing.
@@ -206,7 +207,11 @@ def _features(found: list[tuple]) -> np.ndarray:
     x = np.zeros((len(found), len(FEATURES)))
     own = np.array([(b[1], b[2]) for b in found], float)
     x[:, 0:2] = own
-    x[1:, 2:4], x[:-1, 4:6] = own[:-1], own[1:]
+    open_ = np.array([not b[3] for b in found])
+    near = np.flatnonzero(open_)  # neighbours are sought past named parts
+    before, behind = np.searchsorted(near, np.arange(len(found))) - 1, np.searchsorted(near, np.arange(len(found)), "right")
+    x[before >= 0, 2:4] = own[near[before[before >= 0]]]
+    x[behind < len(near), 4:6] = own[near[behind[behind < len(near)]]]
     x[:, 6:9] = np.array([b[3:6] for b in found], float)
     x[:, 9] = x[:, 7].any()
     return x

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, warc
+from . import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, warc
 from .common import LOWER, UPPER, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_html_extraction,
         op3_quality_classifier,
         op4_document_fingerprints,
@@ -57,6 +62,7 @@ QUERIES = {
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
+    "op1_license_scan": licenses.oracle_sql(),
     "op5_source_mixing": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size,
                           md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
