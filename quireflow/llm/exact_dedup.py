@@ -32,7 +32,7 @@ def _hash(chunk, bits: int):
     return [F.shiftrightunsigned(p, 64 - bits) for p in parts] if bits < 64 else parts
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST, hash_bits: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST, hash_bits: int = 64, with_row: bool = False) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when they are identical after lower-casing A-Z. Null and empty texts are one group. The row with
@@ -69,9 +69,16 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.col("best").isNull() | (F.col("_row") == F.col("best._row"))).alias("kept"),
         "text_sha256",
         "n_chunks",
+        *(["_row"] if with_row else []),
     )
 
 
+def drop_copies(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are kept, as they were. docs must be a table, read the same way each time: rows are told apart by their place."""
+    gone = exact_groups(docs, with_row=True, **how).filter("NOT kept").select("_row")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(docs.columns)
+
+
 def _recipes_past_collisions(lists: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
     """Recipes in which a chunk whose hash another chunk shares stands for itself."""
     parts = lists.select("_row", F.posexplode("_chunks").alias("pos", "chunk"))

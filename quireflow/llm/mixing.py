@@ -72,7 +72,7 @@ def _schedule(plan: DataFrame, n_slots: int) -> DataFrame:
     return ranks.filter("rank < slots").select("slot", "src", "rank").unionByName(late)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, with_row: bool = False) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken, src.
 
     Sizes are words; a null or empty text has none and is not taken. A null source is a source of its own. Order
@@ -111,5 +111,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return (
         joined.groupBy("_row", "_id", "size", "source_size", "target", "src")
         .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-        .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", F.col("src").cast("long").alias("src"))
+        .select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", F.col("src").cast("long").alias("src"), *(["_row"] if with_row else []))
     )
+
+
+def mixed(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: a document comes once for each whole time that it is taken.
+
+    Where the last slot of a source ends inside a document, its first words follow as a row of their own, with n_chars
+    set anew where docs has that column. Documents that are not taken are left out. docs must be a table, read the
+    same way each time: rows are told apart by their place.
+    """
+    taken = mix(docs, text_col=text_col, with_row=True, **how).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_part") - 1) * F.col("_size"))
+    cut_off = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, words.cast("int")), "")
+    rows = rows.withColumn(text_col, F.when(words < F.col("_size"), cut_off).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(words < F.col("_size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)

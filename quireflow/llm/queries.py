@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, warc
+from . import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .common import LOWER, UPPER, table
 
 
@@ -44,6 +44,10 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -56,6 +60,7 @@ QUERIES = {
         op7_exact_dedup,
         op8_minhash_near_dedup,
         op9_warc_bundles,
+        op10_suffix_dedup,
     )
 }
 
