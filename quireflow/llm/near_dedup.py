@@ -3,13 +3,16 @@
 A document is the set of its distinct 5-word shingles. Its signature has 80 symbols of 16 bits, in 16 chunks of 5. Two
 signatures that differ in at most 31 symbols have a chunk with at most one error (pigeonhole), so every chunk is
 entered under each choice of one symbol left out, and all pairs under that distance meet under some key; of pairs
-at the similarity threshold itself, one in ten million meets under none. Two bits of each of 128 minima make a sketch
-whose Hamming distance sorts out chance meetings. What is left is confirmed on the full sets.
-
-Not every pair within a key is compared. Documents with equal sets are one from the start. First each document is
-compared with the smallest of its key. Only those that are not then in that one's component are compared with the
-rest of the key, so a large group of copies costs a comparison per document, and no link that joins two components
-is lost.
+at the similarity threshold itself, one in ten million meets under none. Two sketches sort out chance meetings inside
+the join. A map of 2048 bits, one set for each shingle: its bits that differ are never more than the shingles that
+differ, so it rules out no linked pair, and for a document of some hundred words it is nearly the set itself. And, for
+longer ones, four bits of the smallest hash in each of 512 ranges of the hash space. What is left is confirmed on the
+full sets.
+
+Not every pair within a key is compared. Documents with equal sets are one from the start. The smallest of a key is its
+centre, and each document is first compared with the centres of its keys. Only those that are not then in the component
+of a key's centre are compared with the others in that key, so a large group of copies costs a few comparisons per
+document, and no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, in_batches, shielded, text_or_empty
 from .graph import components
 from .textkit import batches, encode, mix, shingles
 
@@ -27,13 +30,39 @@ SHINGLE = 5
 #: Link where LINK[1] * intersection >= LINK[0] * union.
 LINK = (75, 100)
 CHUNKS, CHUNK_SYMBOLS = 16, 5
-MINIMA = 128
-#: Bits of the 256-bit sketch in which linked documents may differ: at the threshold 32 are expected, with deviation 6.3.
-SKETCH_DISTANCE = 72
+MINIMA = CHUNKS * CHUNK_SYMBOLS
+#: Ranges of the sketch, bits kept of each, and the 64-bit words of one bit of all.
+RANGES, RANGE_BITS = 512, 4
+WORDS = RANGES // 64
+#: Bits of the map of shingles.
+MAP = 2048
+#: Standard deviations by which the sketch of a linked pair may be off.
+DEVIATIONS = 5
 PAIR_BATCH = 200
+SKETCH = [f"{kind}{w}" for kind in ("used", *(f"bit{k}_" for k in range(RANGE_BITS))) for w in range(WORDS)] + [f"map{w}" for w in range(MAP // 64)]
 
 _MULTIPLIERS = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x51ED27)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SIGNED = "sketch0 long, sketch1 long, sketch2 long, sketch3 long"
+
+
+def _sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set which ranges are in use, each of RANGE_BITS bits of the smallest hash in every range, and the map.
+
+    A set's hashes are sorted and a range is given by their leading bits, so the first of a range is its smallest.
+    """
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    place = owner * RANGES + (hashes >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    bits = np.zeros((1 + RANGE_BITS, n * RANGES), np.uint8)
+    bits[0, place[new]] = 1
+    least = mix(hashes[new])
+    for k in range(RANGE_BITS):
+        bits[1 + k, place[new]] = (least >> np.uint64(k)) & np.uint64(1)
+    packed = np.packbits(bits.reshape(1 + RANGE_BITS, n, RANGES), axis=2).view(np.int64)
+    shingle_map = np.zeros(n * MAP, np.uint8)
+    shingle_map[owner * MAP + (hashes & np.uint64(MAP - 1)).astype(np.int64)] = 1
+    return np.hstack([packed.transpose(1, 0, 2).reshape(n, -1), np.packbits(shingle_map.reshape(n, MAP), axis=1).view(np.int64)])
 
 
 def _minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -55,7 +84,7 @@ def _sets(texts: list, k: int):
 
 
 def signatures(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """docs (row, doc_id, text) -> row, doc_id, n_shingles, set_a, set_b (equal for equal sets), symbols and sketch."""
+    """docs (row, doc_id, text) -> row, doc_id, n_shingles, set_a, set_b (equal for equal sets), symbols and SKETCH."""
 
     def sign(parts):
         for pdf in parts:
@@ -64,23 +93,19 @@ def signatures(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
                 out = pdf.iloc[lo : lo + len(n)][["row", "doc_id"]].copy()
                 full = np.flatnonzero(n)
                 sets, symbols = np.zeros((2, len(n)), np.int64), [None] * len(n)
-                sketch = np.zeros((len(n), 4), np.int64)
+                sketch = _sketches(h, first)
                 if len(full):
                     at = first[:-1][full]
                     minima = _minima(h, np.append(at, len(h)))
                     sets[0, full] = np.add.reduceat(h, at).view(np.int64)
                     sets[1, full] = np.add.reduceat(mix(h + np.uint64(1)), at).view(np.int64)
-                    used = np.ascontiguousarray((minima[:, : CHUNKS * CHUNK_SYMBOLS] & 0xFFFF).astype("<u2"))
-                    bits = np.unpackbits(((minima >> 16) & 3).astype(np.uint8)[:, :, None], axis=2)[:, :, 6:].reshape(len(full), 2 * MINIMA)
-                    sketch[full] = np.packbits(bits, axis=1).view(np.int64)
-                    for i, s in zip(full, used, strict=True):
+                    for i, s in zip(full, (minima & 0xFFFF).astype("<u2"), strict=True):
                         symbols[i] = s.tobytes()
                 out["n_shingles"], out["set_a"], out["set_b"], out["symbols"] = n, sets[0], sets[1], symbols
-                for k in range(4):
-                    out[f"sketch{k}"] = sketch[:, k]
+                out = pd.concat([out, pd.DataFrame(sketch, columns=SKETCH, index=out.index)], axis=1)
                 yield out.astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(sign, f"row long, doc_id long, n_shingles long, set_a long, set_b long, symbols binary, {_SIGNED}")
+    return in_batches(docs).mapInPandas(sign, "row long, doc_id long, n_shingles long, set_a long, set_b long, symbols binary, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def index_keys(signed: DataFrame) -> DataFrame:
@@ -105,10 +130,27 @@ def index_keys(signed: DataFrame) -> DataFrame:
 
 
 def _close(a: str, b: str):
-    """Size and sketch allow the pair to be linked."""
+    """Sizes and sketches allow the pair to be linked.
+
+    Sets of n and m shingles that are linked differ in at most (n + m) (1 - J) / (1 + J) of them. The share of used ranges in which two sketches differ estimates 1 - J. Its deviation is that of drawing as many
+    shingles as ranges are in use from the union, which at the threshold has (n + m) / (1 + J) members.
+    """
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{a}.sketch{k}").bitwiseXOR(F.col(f"{b}.sketch{k}"))) for k in range(4)), F.lit(0))
-    return (n * LINK[1] >= m * LINK[0]) & (m * LINK[1] >= n * LINK[0]) & (apart <= SKETCH_DISTANCE)
+    differ, used = [], []
+    for w in range(WORDS):
+        pairs = [(F.col(f"{a}.{c}{w}"), F.col(f"{b}.{c}{w}")) for c in ("used", *(f"bit{k}_" for k in range(RANGE_BITS)))]
+        odd = pairs[0][0].bitwiseXOR(pairs[0][1])
+        for x, y in pairs[1:]:
+            odd = odd.bitwiseOR(x.bitwiseXOR(y))
+        differ.append(F.bit_count(odd))
+        used.append(F.bit_count(pairs[0][0].bitwiseOR(pairs[0][1])))
+    differ, used = sum(differ[1:], differ[0]), sum(used[1:], used[0])
+    j = LINK[0] / LINK[1]
+    undrawn = F.greatest(F.lit(0.05), 1 - used * (1 + j) / (n + m))
+    most = (1 - j) * used + DEVIATIONS * F.sqrt(j * (1 - j) * used * undrawn) + 2
+    odd = [F.bit_count(F.col(f"{a}.map{w}").bitwiseXOR(F.col(f"{b}.map{w}"))) for w in range(MAP // 64)]
+    apart = sum(odd[1:], odd[0]) * (LINK[1] + LINK[0]) <= (n + m) * (LINK[1] - LINK[0])
+    return (n * LINK[1] >= m * LINK[0]) & (m * LINK[1] >= n * LINK[0]) & apart & (differ <= most)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -132,7 +174,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     keep.append(LINK[1] * same >= LINK[0] * (len(x) + len(y) - same))
                 yield part[["a", "b"]][keep]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(linked, "a long, b long")
+    return in_batches(both.select("a", "b", "text_a", "text_b")).mapInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -153,10 +195,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies = cut(of_copy.filter("a <> b"))
     ids = usable.join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
     ids = ids.dropDuplicates(["doc_id", "set_a", "set_b"]).withColumnRenamed("doc_id", "id")
-    sketch = cut(ids.select("id", "n_shingles", "sketch0", "sketch1", "sketch2", "sketch3"))
+    sketch = cut(ids.select("id", "n_shingles", *SKETCH))
     texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
 
-    # first the smallest of each key, which stands in the middle
+    # first the centres of all keys
     keys = index_keys(ids)
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = cut(keys.join(centres, "key"))
@@ -190,3 +232,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "of"), F.col("of") == F.col("doc_id"), "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are kept: of each component the document with its smallest id."""
+    gone = near_duplicates(docs, **how).filter("NOT kept").select("doc_id").distinct()
+    plain, restored = shielded(docs, "doc_id")
+    return restored(plain.join(gone, "doc_id", "left_anti"))
