@@ -37,6 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of a batch that a Python worker receives at once.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts Python workers are to receive in batches of bounded size."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def shielded(docs: DataFrame, *needed: str):
+    """docs with all but the needed columns renamed, so that none clashes with a working column, and what undoes it."""
+    prefix = "_c"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "c"
+    columns = docs.columns
+    names = {c: c if c in needed else f"{prefix}{k}" for k, c in enumerate(columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    plain = docs.select([quoted(c).alias(names[c]) for c in columns])
+    return plain, lambda df: df.select([F.col(names[c]).alias(c) for c in columns])
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

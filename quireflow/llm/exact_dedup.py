@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, text_or_empty
+from .common import cut, lower_ascii, shielded, text_or_empty
 
 LEAST, MOST = 512, 4096
 
@@ -76,7 +76,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are kept, as they were. docs must be a table, read the same way each time: rows are told apart by their place."""
     gone = exact_groups(docs, with_row=True, **how).filter("NOT kept").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(docs.columns)
+    plain, restored = shielded(docs)
+    return restored(plain.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti"))
 
 
 def _recipes_past_collisions(lists: DataFrame, shared: DataFrame, bits: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, shielded, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -123,11 +123,12 @@ def mixed(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     same way each time: rows are told apart by their place.
     """
     taken = mix(docs, text_col=text_col, with_row=True, **how).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
+    plain, restored = shielded(docs, text_col, "n_chars")
+    rows = plain.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
     rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_part") - 1) * F.col("_size"))
     cut_off = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, words.cast("int")), "")
     rows = rows.withColumn(text_col, F.when(words < F.col("_size"), cut_off).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(words < F.col("_size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    return restored(rows)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_batches, shielded
 from .textkit import batches, encode, ngrams
 
 BUCKETS = 1 << 16
@@ -48,7 +48,7 @@ def _counts(docs: DataFrame, group: str | None, n_buckets: int) -> DataFrame:
             yield pd.DataFrame({"g": int(g), "bucket": used, "n": total[used]})
 
     narrow = docs.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), "text")
-    return narrow.mapInPandas(count, "g int, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
+    return in_batches(narrow).mapInPandas(count, "g int, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model, *, temperature: float = TEMPERATURE, se
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("unit", unit).mapInPandas(weigh, f"{schema}, {SCORES}")
+    return in_batches(docs.withColumn("unit", unit)).mapInPandas(weigh, f"{schema}, {SCORES}")
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "gumbel_key") -> float:
@@ -168,5 +168,6 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are in the sample, as they were."""
-    scored, edge = resample(docs, labels, **how)
-    return scored.filter(F.col("gumbel_key") >= edge).select(docs.columns)
+    plain, restored = shielded(docs, "doc_id", "text")
+    scored, edge = resample(plain, labels, **how)
+    return restored(scored.filter(F.col("gumbel_key") >= edge))

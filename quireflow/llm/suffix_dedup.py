@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, text_or_empty
+from .common import cut, fresh_dir, in_batches, text_or_empty
 from .textkit import batches, encode, mix
 
 LENGTH = 400
@@ -123,7 +123,7 @@ def _survey(docs: DataFrame, length: int) -> DataFrame:
             pdf["keys"] = keys
             yield pdf.astype({"doc_id": "Int64"})
 
-    return docs.mapInPandas(read, "row long, doc_id long, n_bytes long, sha256 string, keys array<long>")
+    return in_batches(docs).mapInPandas(read, "row long, doc_id long, n_bytes long, sha256 string, keys array<long>")
 
 
 def _of_document(row, text: str, wanted: list, length: int):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir
+from .common import cut, fresh_dir, in_batches
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 32 << 20
@@ -167,7 +167,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if bundle:
             yield pd.DataFrame(list(finish()), columns=columns).astype({"page_id": "Int64"})
 
-    return cut(records.select("page_id", "url", "html", "refers_to").mapInPandas(write, INDEX))
+    return cut(in_batches(records.select("page_id", "url", "html", "refers_to")).mapInPandas(write, INDEX))
 
 
 def _page_number(urn: str | None):
