@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 # Element names of the HTML standard by what they do to text blocks.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video", "head", "datalist"}
 BLOCK = {
@@ -33,6 +35,7 @@ ASIDE_WORDS = {
     "foot", "footer", "form", "gdpr", "header", "links", "login", "masthead", "menu", "menubar", "meta", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended",
     "related", "replies", "reply", "respond", "rail", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
+    "adbox", "adslot", "adunit", "advertorial", "aside", "discussion", "lightbox", "reactions", "responses", "sidenav", "subnav", "topnav",
     "subscribe", "taboola", "tags", "toolbar", "topbar", "warning", "widget", "widgets",
 }
 ARTICLE_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
@@ -43,7 +46,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_behind", "link_density_behind", "aside", "article", "heading", "has_article")
@@ -53,12 +56,15 @@ _SIZES = ((1, 0.0), (1, 1.0), (4, 0.0), (5, 0.8), (12, 0.0), (40, 0.1), (150, 0.
 # of the one before and of the one behind, whether it is a heading, and 1 for article text.
 _PLAIN = (
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 4, 0.9, 0, 0), (6, 0.7, 3, 1.0, 50, 0.0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0),
-    (9, 0.0, 60, 0.0, 0, 0.0, 0, 0), (25, 0.6, 40, 0.0, 5, 1.0, 0, 0), (8, 0.0, 4, 1.0, 45, 0.0, 1, 1), (6, 0.0, 80, 0.0, 60, 0.0, 1, 1),
+    (9, 0.0, 60, 0.0, 0, 0.0, 0, 1), (25, 0.6, 40, 0.0, 5, 1.0, 0, 0), (8, 0.0, 4, 1.0, 45, 0.0, 1, 1), (6, 0.0, 80, 0.0, 60, 0.0, 1, 1),
     (50, 0.0, 8, 0.0, 70, 0.0, 0, 1), (18, 0.0, 7, 0.0, 40, 0.0, 0, 1), (120, 0.05, 50, 0.0, 9, 0.0, 0, 1), (22, 0.1, 60, 0.0, 35, 0.1, 0, 1),
     (10, 0.0, 55, 0.0, 48, 0.0, 0, 1), (35, 0.25, 30, 0.0, 3, 1.0, 0, 1), (5, 0.0, 45, 0.0, 38, 0.0, 0, 1), (14, 0.0, 9, 0.0, 0, 0.0, 0, 1),
     (4, 0.0, 3, 1.0, 2, 1.0, 1, 0), (3, 0.0, 40, 0.0, 4, 1.0, 1, 0), (70, 0.8, 2, 1.0, 60, 0.9, 0, 0), (5, 0.0, 40, 0.0, 14, 0.0, 0, 1),
     (8, 0.0, 8, 0.0, 8, 0.0, 0, 1), (7, 0.0, 11, 0.0, 6, 0.0, 0, 1), (11, 0.0, 0, 0.0, 7, 0.0, 0, 1), (16, 0.4, 50, 0.0, 60, 0.0, 0, 1),
     (200, 0.0, 0, 0.0, 0, 0.0, 0, 1), (1, 0.0, 90, 0.0, 90, 0.0, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0), (30, 0.9, 10, 0.0, 12, 0.0, 0, 0),
+    (8, 0.0, 1, 0.0, 5, 0.0, 0, 1), (5, 0.0, 8, 0.0, 0, 0.0, 0, 1), (1, 0.0, 0, 0.0, 8, 0.0, 1, 1), (6, 0.1, 20, 0.0, 2, 0.0, 0, 1), (3, 0.0, 5, 0.0, 7, 0.0, 0, 1),
+    (2, 0.0, 4, 0.0, 0, 0.0, 0, 1), (40, 0.0, 0, 0.0, 6, 0.0, 0, 1), (4, 0.3, 30, 0.0, 1, 0.0, 0, 1), (2, 0.9, 30, 0.0, 0, 0.0, 0, 0), (5, 1.0, 8, 0.0, 30, 0.0, 0, 0),
+    (1, 1.0, 1, 0.0, 8, 0.0, 0, 0), (12, 0.8, 9, 0.0, 0, 0.0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0), (5, 0.0, 3, 1.0, 1, 1.0, 0, 0), (90, 0.0, 2, 1.0, 2, 1.0, 0, 1), (15, 0.0, 4, 1.0, 1, 1.0, 0, 1),
     (3, 0.0, 0, 0.0, 40, 0.0, 1, 1), (4, 0.0, 0, 0.0, 14, 0.0, 1, 1), (2, 0.0, 60, 0.0, 50, 0.0, 1, 1), (12, 0.0, 20, 0.0, 3, 1.0, 0, 1),
 )
 #: The labelled table: a row a block, FEATURES in order and then 1 for article text. In a named part nothing is, in the
@@ -115,13 +121,13 @@ def _attributes(text: str) -> tuple[set, bool]:
     words, hidden = set(), False
     if "=" in text or "hidden" in text:
         for name, a, b, c in _ATTRIBUTE.findall(text):
-            value = (a or b or c).lower()
+            value = a or b or c
             if (name := name.lower()) in ("class", "id", "role", "itemprop"):
-                words.update(_NAME.findall(value))
+                words.update(w.lower() for w in _NAME.findall(value))
             elif name == "style":
                 hidden |= bool(_HIDDEN.search(value))
             else:
-                hidden |= value != "false"
+                hidden |= value.lower() != "false"
     return words, hidden
 
 
@@ -130,7 +136,7 @@ def blocks(page: str) -> list[tuple]:
     found: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple] = []  # name, aside, article, hidden
+    stack: list[tuple] = []  # name, aside, article, hidden, whether it is aside as a header only
     in_link = 0
 
     def flush():
@@ -141,7 +147,7 @@ def blocks(page: str) -> list[tuple]:
             heading = bool(names & HEADINGS)
             aside, article = any(s[1] for s in stack), any(s[2] for s in stack)
             if heading and article and aside:  # the article's own header has its title
-                aside = any(s[1] and s[0] != "header" or s[4] for s in stack)
+                aside = any(s[1] and not s[4] for s in stack)
             if not any(s[3] for s in stack):
                 found.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), aside, article, heading))
         text.clear()
@@ -196,9 +202,11 @@ def blocks(page: str) -> list[tuple]:
         if name in VOID or closed:
             continue
         words, hidden = _attributes(m[3])
-        named = bool(words & ASIDE_WORDS)
+        named = bool(words & ASIDE_WORDS - {"header"})
+        head = name == "header" or "header" in words
         whole = name in ("html", "body", "main", "article")
-        stack.append((name, (named or name in ASIDE) and not whole, name in ("article", "main") or bool(words & ARTICLE_WORDS), hidden, named and not whole))
+        aside = (named or head or name in ASIDE) and not whole
+        stack.append((name, aside, name in ("article", "main") or bool(words & ARTICLE_WORDS), hidden, aside and head and not named))
     flush()
     return found
 
@@ -241,4 +249,4 @@ def extract(pages: DataFrame, *, html_col: str = "html", table=LABELLED) -> Data
             yield pdf[["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"]].astype({"page_id": "Int64"})
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return narrow.mapInPandas(read, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+    return in_batches(narrow).mapInPandas(read, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
