@@ -3,12 +3,15 @@
 Documents are tokenised once and cut into pieces; pieces as long as a sequence are sequences already. The others are
 dealt at random into pools of bounded size, and each pool is packed by best-fit decreasing. Dual feasible functions
 give each pool a lower bound on its number of sequences: a pool that meets it is certified. Pools with a gap give up
-all sequences that are not full, certified pools their emptiest one, and what was given up is dealt out anew and
-packed again, until one pool is left or the rounds are used up. Nothing is dropped: the last round keeps all.
+all sequences that are not full, certified pools those that are far from it (another pool may have what fits), and what
+was given up is dealt out anew and packed again, until one pool is left or the rounds are used up. Nothing is dropped:
+the last round keeps all.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,14 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, in_batches, text_or_empty
 
 SEQUENCE = 2048
 POOL = 20_000
 ROUNDS = 4
+#: A certified pool's sequence is given up when more than one part in SPARE of it is free.
+SPARE = 64
 END_ID = 0
-#: Words remembered by a tokenising worker before it forgets them all.
-REMEMBERED = 400_000
+#: Words that a worker remembers.
+REMEMBERED = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -32,21 +37,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word's letters and the ASCII punctuation behind them, which are tokenised apart; an apostrophe is not among it.
+_PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
 class _WordIds(dict):
-    """ids of a word as little-endian unsigned 32-bit bytes, filled in by `learn`."""
+    """ids of a word as little-endian unsigned 32-bit bytes, filled in by `learn`; half of it goes when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self[""] = b""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = suffix and np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
 
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            for w in list(self)[: len(self) // 2]:
+                if w not in words:
+                    del self[w]
+            self[""] = b""
+        if self.ends is None:
+            return self._encode(new)
+        whole, cores, split, match = [], {}, [], _PARTS.match
+        for w in new:
+            m = match(w)
+            if m and (w.isascii() or _all_letters(m[1])):
+                core, rest = m[1].lower(), m[2]
+                if core not in self:
+                    cores[core] = None
+                split.append((w, core, rest))
+            else:
+                whole.append(w)
+        self._encode(list(cores), single=True)
+        self._encode(whole + [r for r in {r for _, _, r in split} if r not in self])
+        for w, core, rest in split:
+            self[w] = self[core] + self[rest]
+
+    def _encode(self, words: list, single: bool = False) -> None:
+        """single: each word is one pre-token, so many are encoded as one text and parted at the ends of words."""
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
+            if single:
+                ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) == len(part):
+                    data, start = ids.tobytes(), 0
+                    for w, stop in zip(part, stops, strict=True):
+                        self[w] = data[start:stop]
+                        start = stop
+                    continue
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+
+def _all_letters(word: str) -> bool:
+    """Whether the word stays letters when it is normalised and lower-cased."""
+    return word.isalpha() and "Σ" not in word and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
+_known: dict[str, _WordIds] = {}
+
+
+def _worker_ids(path: str) -> _WordIds:
+    """The words that this worker process has met so far, kept from task to task."""
+    if path not in _known:
+        _known[path] = _WordIds(path)
+    return _known[path]
 
 
 def _splits_on_space(path: str) -> bool:
@@ -71,7 +130,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _WordIds(path)
+        ids = _worker_ids(path)
         for pdf in batches:
             out = []
             for k in range(0, len(pdf), 256):
@@ -90,7 +149,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return narrow.mapInPandas(pieces, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(narrow).mapInPandas(pieces, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -147,7 +206,8 @@ def _pack_pool(last: bool, capacity: int, round_no: int):
         fill = np.bincount(bins, weights=sizes, minlength=n)
         give = np.zeros(n, bool)
         if not last:
-            give = fill < capacity if n > bound else np.arange(n) == np.argmin(fill)
+            give = fill < (capacity if n > bound else capacity - capacity // SPARE)
+            give[np.argmin(fill)] = True
         pool = int(pdf["pool"].iloc[0])
         return pdf.assign(sequence_id=(round_no + 1 << 56) + (pool << 24) + bins, offset=offsets, certified=n == bound, given=give[bins])
 
