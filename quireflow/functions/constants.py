@@ -27,7 +27,6 @@ CONJUNCTIONS = ("for", "and", "not", "but", "or", "yet", "so", "between")
 UNITS = ("acres", "miles", "-")
 HEADER_LEADS = ("section", "article", "note")
 HONORIFICS = ("Mr.", "Dr.", "Mrs.")
-RECITALS = ("whereas", "now therefore")
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 
 # Patterns without look-around, for every engine

@@ -13,7 +13,6 @@ CHROME_TOP, CHROME_BOTTOM, CHROME_WORDS = 0.11, 0.89, 30
 FOLIO = r"(?i)^(?:page\s+)?[0-9ivxlcdm]+(?:\s+of\s+[0-9ivxlcdm]+)?$"
 EMAIL, URL, PAGE_FOLIO = r"^\S+@\S+\.\S+$", r"(?i)^(?:https?://|www\.)\S+$", r"^(?:[0-9]{1,3}|-\s*[0-9]{1,3}\s*-|[A-Za-z]-[0-9]{1,3})$"
 LOWER_ROMAN = r"^m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$"
-SIGNATURE = r"(?i)^(?:by:|by\.|name:|title:|date:?\b|/s/|(?:docu)?signed by|witness(?:eth)?\s|address(?: for notices)?:|attn:|email:|its:)"
 CJK = "[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}\\x{1F300}-\\x{1FAFF}]"
 LEADER = "[._�]{2,}"
 

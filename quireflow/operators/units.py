@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDINAL = r"^(?:ARTICLE|SECTION|ITEM)\s+(?:[IVXLC]+|[0-9]+)\b"
-TOC_TAIL = r"\s[0-9]{1,4}(?:\s\S{1,20})?$"
 
 
 def starts_unit(text: Column, numbered: Column, n_words: Column) -> Column:
