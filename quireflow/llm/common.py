@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
+_held: dict = {}
+
+
+def held(name: str, make=dict):
+    """What a Python worker keeps from task to task under a name; work under another name gives it back first."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """df, whose texts Python workers are to receive in batches of bounded size."""
     conf = df.sparkSession.conf

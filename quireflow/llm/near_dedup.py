@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, shielded, text_or_empty
+from .common import cut, held, in_batches, shielded, text_or_empty
 from .graph import components
 from .textkit import batches, encode, mix, shingles
 
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     """docs (row, doc_id, text) -> row, doc_id, n_shingles, set_a, set_b (equal for equal sets), symbols and SKETCH."""
 
     def sign(parts):
+        held("near")
         for pdf in parts:
             for lo, h, first in _sets(pdf["text"].tolist(), shingle):
                 n = np.diff(first)
@@ -161,6 +162,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     both = both.join(needed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def linked(parts):
+        held("near")
         for pdf in parts:
             for at in range(0, len(pdf), PAIR_BATCH):
                 part = pdf.iloc[at : at + PAIR_BATCH]

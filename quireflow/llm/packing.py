@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, text_or_empty
+from .common import cut, held, in_batches, text_or_empty
+from .textkit import batches, encode, spelled_tokens
 
 SEQUENCE = 2048
 POOL = 20_000
@@ -28,7 +29,7 @@ ROUNDS = 4
 SPARE = 64
 END_ID = 0
 #: Words that a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -41,42 +42,74 @@ def default_tokenizer() -> str:
 _PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
-class _WordIds(dict):
-    """ids of a word as little-endian unsigned 32-bit bytes, filled in by `learn`; half of it goes when it is full."""
+class _WordIds:
+    """ids of words, remembered by the words' hashes in sorted arrays of some 40 bytes a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self[""] = b""
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = suffix and np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
-
-    def learn(self, words: set) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            for w in list(self)[: len(self) // 2]:
-                if w not in words:
-                    del self[w]
-            self[""] = b""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def texts(self, raw: list[bytes]) -> list[np.ndarray]:
+        """ids of each text, its words put together."""
+        hashes, first, data, starts, ends = spelled_tokens(raw)
+        words, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, counts = self._places(words, lambda k: data[starts[one[k]] : ends[one[k]]].tobytes().decode("utf-8", "surrogatepass"))
+        n = counts[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = self.ids[np.repeat(at[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return np.split(flat, upto[first[1:-1]])
+
+    def _places(self, words: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.ids the ids of words (sorted hashes) begin, and how many they are; new words are learnt."""
+        at = np.searchsorted(self.hashes, words)
+        known = np.zeros(len(words), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == words[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.hashes) and len(self.hashes) + len(new) > REMEMBERED:
+                self._forget()
+                return self._places(words, spelled)
+            coded = self.encoded([spelled(k) for k in new])
+            counts = np.array([len(b) // 4 for b in coded], np.int64)
+            begin = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+            self.hashes = np.insert(self.hashes, at[new], words[new])
+            self.starts, self.counts = np.insert(self.starts, at[new], begin), np.insert(self.counts, at[new], counts)
+            at = np.searchsorted(self.hashes, words)
+        return self.starts[at], self.counts[at]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """ids of words as little-endian unsigned 32-bit bytes; letters and the punctuation behind them apart."""
+        found: dict[str, bytes] = {"": b""}
         if self.ends is None:
-            return self._encode(new)
-        whole, cores, split, match = [], {}, [], _PARTS.match
-        for w in new:
+            self._encode(list(dict.fromkeys(words)), found)
+            return [found[w] for w in words]
+        whole, cores, split, match = {}, {}, [], _PARTS.match
+        for w in words:
             m = match(w)
             if m and (w.isascii() or _all_letters(m[1])):
-                core, rest = m[1].lower(), m[2]
-                if core not in self:
-                    cores[core] = None
-                split.append((w, core, rest))
+                core = m[1].lower()
+                cores[core] = None
+                split.append((core, m[2]))
             else:
-                whole.append(w)
-        self._encode(list(cores), single=True)
-        self._encode(whole + [r for r in {r for _, _, r in split} if r not in self])
-        for w, core, rest in split:
-            self[w] = self[core] + self[rest]
-
-    def _encode(self, words: list, single: bool = False) -> None:
+                whole[w] = None
+                split.append((w, ""))
+        whole.update(dict.fromkeys(rest for _, rest in split if rest))
+        apart: dict[str, bytes] = {}
+        self._encode(list(cores), found, single=True)
+        self._encode(list(whole), apart)
+        return [(found[w] if w in cores else apart[w]) + (apart[rest] if rest else b"") for w, rest in split]
+
+    def _encode(self, words: list, found: dict, single: bool = False) -> None:
         """single: each word is one pre-token, so many are encoded as one text and parted at the ends of words."""
         for k in range(0, len(words), 2048):
             part = words[k : k + 2048]
@@ -86,11 +119,11 @@ class _WordIds(dict):
                 if len(stops) == len(part):
                     data, start = ids.tobytes(), 0
                     for w, stop in zip(part, stops, strict=True):
-                        self[w] = data[start:stop]
+                        found[w] = data[start:stop]
                         start = stop
                     continue
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+                found[w] = np.asarray(e.ids, dtype="<u4").tobytes()
 
 
 def _all_letters(word: str) -> bool:
@@ -98,14 +131,9 @@ def _all_letters(word: str) -> bool:
     return word.isalpha() and "Σ" not in word and unicodedata.normalize("NFC", word).lower().isalpha()
 
 
-_known: dict[str, _WordIds] = {}
-
-
 def _worker_ids(path: str) -> _WordIds:
     """The words that this worker process has met so far, kept from task to task."""
-    if path not in _known:
-        _known[path] = _WordIds(path)
-    return _known[path]
+    return held(f"words of {path}", lambda: _WordIds(path))
 
 
 def _splits_on_space(path: str) -> bool:
@@ -126,23 +154,21 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     by_word = _splits_on_space(path)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def pieces(batches):
+    def pieces(parts):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = _worker_ids(path)
-        for pdf in batches:
+        for pdf in parts:
             out = []
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                texts = part["text"].tolist()
+            rows, docs_, raw = pdf["row"].tolist(), pdf["doc_id"].tolist(), [encode(t) for t in pdf["text"]]
+            for lo, hi in batches(raw):
                 if by_word:
-                    words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-                    ids.learn(set().union(*words))
-                    data = [b"".join(map(ids.__getitem__, w)) + end for w in words]
+                    coded = ids.texts(raw[lo:hi])
                 else:
-                    data = [np.asarray(e.ids, dtype="<u4").tobytes() + end for e in ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                for row, doc, b in zip(part["row"], part["doc_id"], data, strict=True):
+                    coded = [e.ids for e in ids.tokenizer.encode_batch_fast(pdf["text"].tolist()[lo:hi], add_special_tokens=False)]
+                for row, doc, c in zip(rows[lo:hi], docs_[lo:hi], coded, strict=True):
+                    b = np.asarray(c, dtype="<u4").tobytes() + end
                     for n, at in enumerate(range(0, len(b), 4 * sequence)):
                         p = b[at : at + 4 * sequence]
                         out.append((row, doc, n, at // 4, len(p) // 4, zlib.crc32(p)))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, shielded
+from .common import cut, held, in_batches, shielded
 from .textkit import batches, encode, ngrams
 
 BUCKETS = 1 << 16
@@ -37,6 +37,7 @@ def _counts(docs: DataFrame, group: str | None, n_buckets: int) -> DataFrame:
     """How often each bucket occurs in all texts (of each group); counts of a partition are summed up before the shuffle."""
 
     def count(parts):
+        held("quality")
         sums: dict = {}
         for pdf in parts:
             for g, part in pdf.groupby("g") if group else [(0, pdf)]:
@@ -117,6 +118,7 @@ def score(docs: DataFrame, model: Model, *, temperature: float = TEMPERATURE, se
     unit = (F.shiftrightunsigned(noise, 11).cast("double") + 0.5) / float(1 << 53)
 
     def weigh(parts):
+        held("quality")
         for pdf in parts:
             total, n = _sums(pdf["text"].tolist(), ratios, n_buckets)
             weight = np.round(total - boundary * n, 9)

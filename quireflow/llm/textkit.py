@@ -68,6 +68,11 @@ _KINDS = {flag: _classes(flag) for flag in (False, True)}
 
 def tokens(raw: list[bytes], split_punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens in order, and where each text's tokens begin (one more entry than texts)."""
+    return spelled_tokens(raw, split_punctuation)[:2]
+
+
+def spelled_tokens(raw: list[bytes], split_punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the bytes of all texts, and where in them each token begins and ends."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     kinds = _KINDS[split_punctuation][data]
     edge = np.empty(len(kinds), bool)
@@ -82,7 +87,7 @@ def tokens(raw: list[bytes], split_punctuation: bool = False) -> tuple[np.ndarra
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data))[starts])
     ends_of_text = np.cumsum([len(b) + 1 for b in raw])
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
+    return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)]), data, starts, ends
 
 
 _PLACES = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
