@@ -380,10 +380,11 @@ _RANKED = f"""{_BLOCKS}, sz AS (SELECT doc_id, size, least(6, dense_rank() OVER
 
 
 def _ranked(spark, d):
+    """Blocks with the level of their size among their document's heading sizes; 6 where no heading has it."""
     blocks = _blocks(spark, d)
-    sizes = blocks.filter("block_type = 'header'").select("doc_id", "size").distinct()
-    sizes = sizes.withColumn("level", F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))))
-    return blocks.join(sizes, ["doc_id", "size"], "left").withColumn("level", F.coalesce("level", F.lit(6)))
+    sizes = F.collect_set(F.when(F.col("block_type") == "header", F.col("size"))).over(Window.partitionBy("doc_id"))
+    level = F.when(F.array_contains("sizes", F.col("size")), F.least(F.lit(6), F.size(F.filter("sizes", lambda s: s >= F.col("size"))))).otherwise(6)
+    return blocks.withColumn("sizes", sizes).withColumn("level", level).drop("sizes")
 
 
 @query(f"""WITH {_RANKED}, m AS (SELECT doc_id, block_idx, CASE block_type WHEN 'header' THEN repeat('#', level) || ' ' || block_text WHEN 'list_item' THEN '- ' || bt WHEN 'table_row' THEN '| ' || replace(bt, '|', '\\|') || ' |' ELSE bt END AS md
