@@ -9,8 +9,9 @@ differ, so it rules out no linked pair, and for a document of some hundred words
 longer ones, four bits of the smallest hash in each of 512 ranges of the hash space. What is left is confirmed on the
 full sets.
 
-Not every pair within a key is compared. Documents with equal sets are one from the start. The smallest of a key is its
-centre, and each document is first compared with the centres of its keys. Only those that are not then in the component
+Not every pair within a key is compared. Documents with equal sets are one from the start. A key's centre is
+the one of its documents that meets most others under all its keys, as the original of many copies does, and each
+document is first compared with the centres of its keys. Only those that are not then in the component
 of a key's centre are compared with the others in that key, so a large group of copies costs a few comparisons per
 document, and no link that joins two components is lost.
 """
@@ -202,9 +203,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # first the centres of all keys
     keys = index_keys(ids)
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = cut(keys.join(centres, "key"))
-    star = met.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(keys.join(shared, "key"))
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    centres = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("late"))).alias("c"))
+    met = cut(shared.drop("n").join(centres.select("key", (-F.col("c.late")).alias("centre")), "key"))
+    star = met.filter("id <> centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
     star = star.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
     star = cut(star.filter(_close("x", "y")).select("a", "b"))
     links = cut(_confirmed(star, texts, shingle))
