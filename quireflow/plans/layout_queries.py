@@ -72,11 +72,29 @@ def cid_strip(spark, d):
 _WIDTH, _COLUMN = 600.0, (40.0, 320.0)
 
 
+#: A row of a column: whole words on at most 60 letters, or one longer word.
+_ROW = r"(?s)([^ ].{0,59}|[^ ]+)(?: +|$)"
+
+
+def _wrapped(lines):
+    """Lines in two columns, even ones left and odd ones right, each on as many rows as it needs; what follows in its column moves down.
+
+    A line's rows have row_no (within the column), page_idx, top, text and n_before, the number of the line's words on the rows before.
+    """
+    lines = lines.withColumn("col_no", F.col("line_no") % 2).withColumn("rows", F.regexp_extract_all("text", F.lit(_ROW), F.lit(1)))
+    above = Window.partitionBy("doc_id", "col_no").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
+    first = F.expr("line_no DIV 2") + F.coalesce(F.sum(F.size("rows") - 1).over(above), F.lit(0))
+    rows = lines.withColumn("first", first).select("doc_id", "line_no", "col_no", "first", F.posexplode("rows").alias("k", "text"))
+    n_words = F.size(F.filter(F.split("text", " +"), lambda w: w != ""))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n_before", F.coalesce(F.sum(n_words).over(before), F.lit(0))).withColumn("row_no", F.col("first") + F.col("k"))
+    return rows.select("doc_id", "line_no", F.expr("row_no DIV 50").alias("page_idx"), (72 + 12 * (F.col("row_no") % 50)).cast("double").alias("top"), "col_no", "row_no", "n_before", "text")
+
+
 def _two_columns(spark, d):
-    """Documents laid out in two columns: of each line at most 60 letters, even lines left and odd ones right."""
-    lines = _lines(spark, d).withColumn("col_no", F.col("line_no") % 2).withColumn("row_no", F.expr("line_no DIV 2"))
-    lines = lines.select("doc_id", "line_no", F.expr("row_no DIV 50").alias("page_idx"), (72 + 12 * (F.col("row_no") % 50)).cast("double").alias("top"), "col_no", F.substring("text", 1, 60).alias("text"))
-    words = lift.words_of_lines(lines)
+    """All words of the documents, laid out in two columns of 60 letters; word_no counts through a line's rows."""
+    words = lift.words_of_lines(_wrapped(_lines(spark, d)), keys=("doc_id", "line_no", "row_no"))
+    words = words.withColumn("word_no", F.col("word_no") + F.col("n_before")).drop("n_before")
     left = F.when(F.col("col_no") == 0, _COLUMN[0]).otherwise(_COLUMN[1])
     squeezed = lambda x: left + (F.col(x) - lift.LEFT) * 4 / 6
     return words.withColumn("a", squeezed("x0")).withColumn("b", squeezed("x1")).drop("x0", "x1").withColumnsRenamed({"a": "x0", "b": "x1"})
@@ -140,8 +158,8 @@ def grid_regions_strict(spark, d):
 
 @query()
 def order_fixer_strict(spark, d):
-    """Blocks in reading order when neighbours overlap in height."""
-    return strict.fixed_order(_two_columns(spark, d))
+    """Rows of lines in reading order when neighbours overlap in height."""
+    return strict.fixed_order(_two_columns(spark, d), keys=("line_no", "row_no"))
 
 
 # filters
