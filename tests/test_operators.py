@@ -70,6 +70,16 @@ def test_cheapest_words():
     assert strict._cheapest("thecatsat", cost, 3) == ["the", "cat", "sat"]
 
 
+def test_all_words_of_a_line_come_apart(spark):
+    text = "The cat sat on the mat, and 12 été cats sat under it on 3 mats."
+    lines = spark.createDataFrame([(1, 0, text), (1, 1, "the  cat"), (1, 2, " ")], "doc_id long, line_no long, text string")
+    found = strict.split_run_together(lines).orderBy("line_no", "run_no").collect()
+    assert [(r["line_no"], r["run_no"]) for r in found] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert "".join(r["run"] for r in found[:3]) == text.lower().replace(" ", "")
+    assert " ".join(r["words"] for r in found[:3]) == "the cat sat on the mat , and 12 été cats sat under it on 3 mats ."
+    assert found[3]["words"] == "the cat"
+
+
 def test_failing_pages_do_not_end_the_job(spark):
     rows = spark.createDataFrame([("a", b"x"), ("b", b"bad"), ("c", b"")], "path string, content binary")
 
