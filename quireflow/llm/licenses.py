@@ -8,13 +8,13 @@ is found before the short forms that it contains.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, text_or_empty
 
-#: What a sentence must hold to be looked at.
-CUE = r"licen[sc]e|copyright|\(c\)|warrant|permission|redistribut|spdx|public domain|all rights reserved|liab(?:le|ility)|endorse"
 _BREAK = "\x01"
 # Known licence sentences in order of trial. An identifier, the pattern of the normalised sentence (no
 # look-around, so that other engines read it too), and 1 where the pattern's group is appended to the identifier.
@@ -41,6 +41,12 @@ SENTENCES = (
     ("cc-by-sa-", r"cc[ -]by-sa[ -]?([0-9]\.[0-9])", 1),
     ("cc-by-nd-", r"cc[ -]by-nd[ -]?([0-9]\.[0-9])", 1),
     ("cc-by-", r"cc[ -]by[ -]?([0-9]\.[0-9])", 1),
+    ("cc-by-nc-sa-", r"creative commons attribution[ -]non-?commercial[ -]share-?alike,? (?:version |v)?([0-9]\.[0-9])", 1),
+    ("cc-by-nc-nd-", r"creative commons attribution[ -]non-?commercial[ -]no-?deriv(?:ative)?s(?: works)?,? (?:version |v)?([0-9]\.[0-9])", 1),
+    ("cc-by-nc-", r"creative commons attribution[ -]non-?commercial,? (?:version |v)?([0-9]\.[0-9])", 1),
+    ("cc-by-sa-", r"creative commons attribution[ -]share-?alike,? (?:version |v)?([0-9]\.[0-9])", 1),
+    ("cc-by-nd-", r"creative commons attribution[ -]no-?deriv(?:ative)?s(?: works)?,? (?:version |v)?([0-9]\.[0-9])", 1),
+    ("cc-by-", r"creative commons attribution,? (?:version |v)?([0-9]\.[0-9])", 1),
     ("cc-name", r"creative commons attribution", 0),
     ("mit-grant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", 0),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included", 0),
@@ -61,6 +67,9 @@ SENTENCES = (
     ("rights-reserved", r"all rights reserved", 0),
     ("copyright", r"copyright|\(c\) *[0-9]{4}", 0),
 )
+_CUE_WORDS = r"licen[sc]e|copyright|\(c\)|warrant|permission|redistribut|spdx|public domain|all rights reserved|liab(?:le|ility)|endorse"
+#: What a sentence must hold to be looked at: a word of licensing, or what makes it a known sentence without such a word.
+CUE = "|".join([_CUE_WORDS, *(f"(?:{p})" for _, p, _ in SENTENCES if not re.search(_CUE_WORDS, p.replace("licen[sc]e", "license")))])
 # Rules in order. The licence, and the run of identifiers: | parts them, ? marks one that may be missing,
 # and a pattern in parentheses is taken over into the licence's name where that ends in a hyphen or a colon.
 RULES = (

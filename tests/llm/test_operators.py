@@ -492,6 +492,57 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+#: A sentence for each identifier as SENTENCES has them.
+KNOWN = (
+    ("SPDX-License-Identifier: MIT", "spdx:mit"), ("Licensed under the Apache License, Version 2.0", "apache-header"),
+    ("you may not use this file except in compliance with the License.", "apache-file"), ("You may obtain a copy of the License at", "apache-copy"),
+    ('distributed under the License is distributed on an "AS IS" BASIS', "apache-basis"), ("See the License for the specific language governing permissions", "apache-limits"),
+    ("Apache License 2", "apache-version"), ("GNU Affero General Public License v3", "agpl-3"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
+    ("This program is free software, you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl-free"),
+    ("This program is distributed in the hope that it will be useful", "gpl-warranty"), ("You should have received a copy of the GNU General Public License", "gpl-copy"),
+    ("GNU General Public License, version 2", "gpl-2"), ("GNU General Public License", "gpl-any"), ("Mozilla Public License 2.0", "mpl-2.0"), ("Released under CC0 1.0.", "cc0"),
+    ("CC BY-NC-SA 4.0", "cc-by-nc-sa-4.0"), ("CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0"), ("CC BY-NC 4.0", "cc-by-nc-4.0"), ("Available under CC BY-SA 4.0.", "cc-by-sa-4.0"),
+    ("CC BY-ND 4.0", "cc-by-nd-4.0"), ("CC BY 4.0", "cc-by-4.0"), ("Creative Commons Attribution", "cc-name"), ("Creative Commons Attribution-ShareAlike 4.0 International.", "cc-by-sa-4.0"),
+    ("Creative Commons Attribution 4.0 International.", "cc-by-4.0"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit-grant"),
+    ("The above copyright notice and this permission notice shall be included", "mit-notice"), ("MIT License", "mit-name"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc-grant"), ("ISC License", "isc-name"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd-grant"),
+    ("Redistributions of source code must retain the above copyright notice", "bsd-source"), ("Redistributions in binary form must reproduce the above copyright notice", "bsd-binary"),
+    ("may be used to endorse or promote products", "bsd-endorse"), ("All advertising materials mentioning features or use of this software must display", "bsd-advert"),
+    ("BSD 3-Clause", "bsd-name-3"), ("BSD License", "bsd-any"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("placed in the public domain", "public-domain"), ("The software is provided as is", "warranty-as-is"), ("In no event shall we be liable", "no-liability"),
+    ("All rights reserved", "rights-reserved"), ("Copyright 2020", "copyright"),
+)
+
+
+def test_no_known_sentence_is_filtered_out(spark):
+    names = {n for n, _, _ in licenses.SENTENCES}
+    assert names == {max((n for n in names if i == n or n[-1] in "-:" and i.startswith(n)), key=len) for _, i in KNOWN}
+    found = licenses.scan(frame(spark, [(k, t, "a") for k, (t, _) in enumerate(KNOWN)])).orderBy("doc_id").collect()
+    assert [r["sentence_ids"] for r in found] == [i for _, i in KNOWN]
+
+
+#: What stands before the rest of a four-clause licence, its clauses and its end.
+BSD = (
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n",
+    "1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n",
+    "2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution.\n",
+    "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by the organization.\n",
+    "4. Neither the name of the organization nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n",
+    "\nTHIS SOFTWARE IS PROVIDED BY THE AUTHOR ''AS IS'' AND ANY EXPRESS OR\nIMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.\n",
+)
+
+
+def flat(text):
+    return text.replace("\n   ", " ")
+
+
+def test_four_clauses_are_not_three(spark):
+    rows = [(1, flat("".join(BSD)), "a"), (2, flat("".join(BSD[:3] + BSD[4:])), "a"), (3, flat("".join(BSD[:3] + BSD[5:])), "a")]
+    rows += [(4, "Text released under CC0 1.0.", "a"), (5, "Some text. BSD 3-Clause", "a")]
+    assert [r["licenses"] for r in licenses.scan(frame(spark, rows)).orderBy("doc_id").collect()] == ["bsd-4-clause", "bsd-3-clause", "bsd-2-clause", "cc0-1.0", "bsd-3"]
+
+
 # all
 
 
