@@ -26,12 +26,14 @@ SENTENCES = (
     ("apache-basis", r"distributed under the license is distributed on an \"?as is\"? basis", 0),
     ("apache-limits", r"see the license for the specific language governing permissions", 0),
     ("apache-version", r"apache license,? *(?:version|v)? ?2", 0),
-    ("agpl-", r"gnu affero general public licen[sc]e,? (?:version |v)?([0-9](?:\.[0-9])?)", 1),
+    ("agpl-", r"gnu affero general public licen[sc]e,? (?:as published by the free software foundation[;,] either )?(?:version |v)?([0-9](?:\.[0-9])?)", 1),
     ("lgpl-", r"gnu (?:lesser|library) general public licen[sc]e,? (?:as published by the free software foundation[;,] either )?(?:version |v)?([0-9](?:\.[0-9])?)", 1),
-    ("gpl-free", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e", 0),
-    ("gpl-warranty", r"this program is distributed in the hope that it will be useful", 0),
-    ("gpl-copy", r"you should have received a copy of the gnu general public licen[sc]e", 0),
     ("gpl-", r"gnu general public licen[sc]e,? (?:as published by the free software foundation[;,] either )?(?:version |v)?([0-9](?:\.[0-9])?)", 1),
+    ("gpl-free", r"this (?:program|library|software|file|package) is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e", 0),
+    ("gpl-warranty", r"(?:this|the) (?:program|library|software|file|package) is distributed in the hope that it will be useful", 0),
+    ("gpl-implied", r"without even the implied warranty of", 0),
+    ("gpl-see", r"see the gnu (?:(?:affero|lesser|library) )?general public licen[sc]e for more details", 0),
+    ("gpl-copy", r"you should have received a copy of the gnu (?:(?:affero|lesser|library) )?general public licen[sc]e", 0),
     ("gpl-any", r"gnu general public licen[sc]e", 0),
     ("mpl-", r"mozilla public licen[sc]e,? (?:version |v\. ?|v)?([0-9](?:\.[0-9])?)", 1),
     ("cc0", r"(?:cc0|creative commons zero)", 0),
@@ -82,10 +84,10 @@ RULES = (
     ("bsd-2-clause", ("bsd-grant", "bsd-source", "bsd-binary", "warranty-as-is?", "no-liability?")),
     ("isc", ("isc-name?", "isc-grant", "warranty-as-is?", "no-liability?")),
     ("unlicense", ("unlicense", "warranty-as-is?", "no-liability?")),
-    ("agpl-", ("agpl-([0-9.]+)", "gpl-warranty?", "gpl-copy?")),
-    ("lgpl-", ("lgpl-([0-9.]+)", "gpl-warranty?", "gpl-copy?")),
-    ("gpl-", ("gpl-free?", "gpl-([0-9.]+)", "gpl-warranty?", "gpl-copy?")),
-    ("gpl", ("gpl-free", "gpl-warranty?", "gpl-copy?")),
+    ("agpl-", ("agpl-([0-9.]+)", "gpl-warranty?", "gpl-implied?", "gpl-see?", "gpl-copy?")),
+    ("lgpl-", ("lgpl-([0-9.]+)", "gpl-warranty?", "gpl-implied?", "gpl-see?", "gpl-copy?")),
+    ("gpl-", ("gpl-free?", "gpl-([0-9.]+)", "gpl-warranty?", "gpl-implied?", "gpl-see?", "gpl-copy?")),
+    ("gpl", ("gpl-free", "gpl-warranty?", "gpl-implied?", "gpl-see?", "gpl-copy?")),
     ("gpl", ("gpl-any",)),
     ("mpl-", ("mpl-([0-9.]+)",)),
     ("cc0-1.0", ("cc0",)),
@@ -115,13 +117,17 @@ def sentences(text: Column) -> Column:
     """Normalised sentences of a text, empty ones left out.
 
     A sentence ends at . ! ? ; or : before white space, at an empty line, and at a line end, unless the line stops at
-    a comma or a word that calls for more, or the next line goes on in lower case.
+    a comma or a word that calls for more, or the next line goes on in lower case, indented or not. The header of a GNU
+    licence does not end within its names or at the marks before "you can redistribute" and "either version".
     """
     t = F.regexp_replace(text, r"(?m)^[ \t]*(?://+|#+|\*+/?|/\*+|--+|;+|<!--|%+|>+)[ \t]*", "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?i)(spdx-license-identifier:)[ \t]+", "$1")
     t = F.regexp_replace(t, r"(?i)(,|\b(?:the|of|a|an|under|by|to|and|or|in|with|for|on|gnu)) *\n", "$1 ")
-    t = F.regexp_replace(t, r"\n([a-z])", " $1")
+    t = F.regexp_replace(t, r"\n[ \t]*([a-z])", " $1")
+    t = F.regexp_replace(t, r"(?i)\b((?:affero|lesser|library)(?=\s+general\b)|general(?=\s+public\b)|public(?=\s+licen[sc]e\b)|free(?=\s+software\b)|software(?=\s+foundation\b))[ \t]*\n[ \t]*", "$1 ")
+    t = F.regexp_replace(t, r"(?i)(\bfree software)[;:,]?[ \t\n]+(you can redistribute\b)", "$1, $2")
+    t = F.regexp_replace(t, r"(?i)(\bfree software foundation)[;:,]?[ \t\n]+(either)[ \t\n]+(version\b)", "$1, $2 $3")
     t = F.regexp_replace(t, r"\n+|([.!?;:])[ \t\n]+", "$1" + _BREAK)
     t = F.regexp_replace(F.regexp_replace(lower_ascii(t), "[‘’“”\"'`]+", '"'), r"[ \t\f\x0B\x{A0}]+", " ")
     return F.filter(F.transform(F.split(t, _BREAK), lambda s: F.trim(s)), lambda s: s != "")

@@ -500,6 +500,7 @@ KNOWN = (
     ("Apache License 2", "apache-version"), ("GNU Affero General Public License v3", "agpl-3"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
     ("This program is free software, you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl-free"),
     ("This program is distributed in the hope that it will be useful", "gpl-warranty"), ("You should have received a copy of the GNU General Public License", "gpl-copy"),
+    ("without even the implied warranty of", "gpl-implied"), ("See the GNU General Public License for more details.", "gpl-see"),
     ("GNU General Public License, version 2", "gpl-2"), ("GNU General Public License", "gpl-any"), ("Mozilla Public License 2.0", "mpl-2.0"), ("Released under CC0 1.0.", "cc0"),
     ("CC BY-NC-SA 4.0", "cc-by-nc-sa-4.0"), ("CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0"), ("CC BY-NC 4.0", "cc-by-nc-4.0"), ("Available under CC BY-SA 4.0.", "cc-by-sa-4.0"),
     ("CC BY-ND 4.0", "cc-by-nd-4.0"), ("CC BY 4.0", "cc-by-4.0"), ("Creative Commons Attribution", "cc-name"), ("Creative Commons Attribution-ShareAlike 4.0 International.", "cc-by-sa-4.0"),
@@ -543,6 +544,44 @@ def test_four_clauses_are_not_three(spark):
     assert [r["licenses"] for r in licenses.scan(frame(spark, rows)).orderBy("doc_id").collect()] == ["bsd-4-clause", "bsd-3-clause", "bsd-2-clause", "cc0-1.0", "bsd-3"]
 
 
+def gnu(thing, name, mark, before_either, version, lines=("", "")):
+    return f"""This {thing} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public{lines[0]}License as published by
+the Free Software Foundation{before_either} either{lines[1]}version {version} of the License, or
+(at your option) any later version.
+
+This {thing} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{name}General Public License for more details.
+
+You should have received a copy of the GNU {name}General Public License
+along with this {thing}; if not, write to the Free Software Foundation.
+"""
+
+
+NOTICES = {
+    "gpl-2": gnu("program", "", ";", ";", "2", (" ", " ")),
+    "gpl-3": gnu("program", "", ":", ",", "3", (" ", " ")),
+    "lgpl-2.1": gnu("library", "Lesser ", ";", ";", "2.1", ("\n", "\n")),
+    "agpl-3": gnu("program", "Affero ", ":", ",", "3", (" ", " ")),
+    "bsd-2-clause": "".join(BSD[:3] + BSD[5:]),
+    "bsd-3-clause": "".join(BSD[:3] + BSD[4:]),
+    "bsd-4-clause": "".join(BSD),
+}
+
+
+def test_whole_notices_plain_indented_and_in_comments(spark):
+    rows = []
+    for name, text in NOTICES.items():
+        lines = text.splitlines()
+        forms = [text, "\n".join("    " + t for t in lines), "/*\n" + "\n".join(" * " + t for t in lines) + "\n */\nint x;", "\n".join("# " + t for t in lines), text.replace("\n", "\r\n")]
+        rows += [(k, form, name) for k, form in enumerate(forms)]
+    docs = spark.createDataFrame([(f"{s} {k}", t) for k, t, s in rows], "doc_id string, text string")
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert found == {f"{s} {k}": s for k, _, s in rows}
+
+
 # all
 
 
