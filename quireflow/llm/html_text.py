@@ -39,6 +39,8 @@ ASIDE_WORDS = {
     "subscribe", "taboola", "tags", "toolbar", "topbar", "warning", "widget", "widgets",
 }
 ARTICLE_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
+# Words after which, and before which, an aside word only says what a page has or lacks.
+HAVING, STATE = {"has", "no", "with", "without"}, {"enabled", "disabled"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -116,19 +118,33 @@ def grown_tree(table=LABELLED) -> Tree:
     return Tree(rows[:, :-1], rows[:, -1])
 
 
-def _attributes(text: str) -> tuple[set, bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words, hidden = set(), False
+def _named_aside(words: list[str]) -> set:
+    """Aside words of one class or id that are not qualified by the words around them."""
+    first = next((k for k, w in enumerate(words) if w in HAVING), len(words))
+    last = next((k for k in range(len(words) - 1, -1, -1) if words[k] in STATE), -1)
+    return {w for k, w in enumerate(words) if last < k < first and w in ASIDE_WORDS}
+
+
+def _attributes(text: str) -> tuple[set, set, bool]:
+    """Words of class, id and role, those that name a part other than the article, and whether the element is hidden.
+
+    An element that is called by an article word alone, as in class="post wide-banner", is no other part.
+    """
+    words, asides, own, hidden = set(), set(), False, False
     if "=" in text or "hidden" in text:
         for name, a, b, c in _ATTRIBUTE.findall(text):
             value = a or b or c
             if (name := name.lower()) in ("class", "id", "role", "itemprop"):
-                words.update(w.lower() for w in _NAME.findall(value))
+                for one in value.split():
+                    parts = [w.lower() for w in _NAME.findall(one)]
+                    words.update(parts)
+                    asides |= _named_aside(parts)
+                    own |= one.lower() in ARTICLE_WORDS
             elif name == "style":
                 hidden |= bool(_HIDDEN.search(value))
             else:
                 hidden |= value.lower() != "false"
-    return words, hidden
+    return words, set() if own else asides, hidden
 
 
 def blocks(page: str) -> list[tuple]:
@@ -136,8 +152,9 @@ def blocks(page: str) -> list[tuple]:
     found: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple] = []  # name, aside, article, hidden, whether it is aside as a header only
+    stack: list[tuple] = []  # name, aside, article, hidden, whether it is aside as a header only, whether it may turn out to be around the article
     in_link = 0
+    read: set = set()  # of article and main, those that have given text
 
     def flush():
         words = html.unescape("".join(text)).split()
@@ -145,9 +162,13 @@ def blocks(page: str) -> list[tuple]:
             n_linked = len(html.unescape(" ".join(linked)).split())
             names = {s[0] for s in stack}
             heading = bool(names & HEADINGS)
-            aside, article = any(s[1] for s in stack), any(s[2] for s in stack)
+            inner = max((k for k, s in enumerate(stack) if s[0] in ("article", "main")), default=0)
+            parts = [s for k, s in enumerate(stack) if s[1] and not (s[5] and k < inner)]
+            aside, article = bool(parts), any(s[2] for s in stack)
             if heading and article and aside:  # the article's own header has its title
-                aside = any(s[1] and not s[4] for s in stack)
+                aside = any(not s[4] for s in parts)
+            if not aside:
+                read.update(names & {"article", "main"})
             if not any(s[3] for s in stack):
                 found.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), aside, article, heading))
         text.clear()
@@ -201,12 +222,14 @@ def blocks(page: str) -> list[tuple]:
             stack.pop()
         if name in VOID or closed:
             continue
-        words, hidden = _attributes(m[3])
-        named = bool(words & ASIDE_WORDS - {"header"})
-        head = name == "header" or "header" in words
+        words, asides, hidden = _attributes(m[3])
+        named = bool(asides - {"header"})
+        head = name == "header" or "header" in asides
         whole = name in ("html", "body", "main", "article")
         aside = (named or head or name in ASIDE) and not whole
-        stack.append((name, aside, name in ("article", "main") or bool(words & ARTICLE_WORDS), hidden, aside and head and not named))
+        # behind an article or a whole main part, what an aside word names are other pages' articles
+        around = name not in ASIDE and "article" not in read and ("main" not in read or any(s[0] == "main" for s in stack))
+        stack.append((name, aside, name in ("article", "main") or bool(words & ARTICLE_WORDS), hidden, aside and head and not named, around))
     flush()
     return found
 

@@ -465,6 +465,29 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+STORY = "<h1>The title of the story</h1><p>" + "The first paragraph is long enough to be read as text. " * 4 + "</p><p>" + "The second one goes on about the same thing. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout has-sidebar"><article>{STORY}</article></div></body>',
+        f'<body><div id="content" class="content no-sidebar">{STORY}</div></body>',
+        f'<body><div class="post comments-enabled">{STORY}</div></body>',
+        f'<body><div class="withSidebar">{STORY}</div></body>',
+        f'<body><div class="sidebar-left"><div class="wrap"><main>{STORY}</main></div></div></body>',
+        f'<body><main><h2>News</h2><div class="banner-wide"><article>{STORY}</article></div></main></body>',
+    ],
+)
+def test_wrappers_with_aside_words_keep_the_article(page):
+    other = '<div class="sidebar"><p>' + "Words of the side that are no article at all. " * 4 + "</p></div>"
+    if "<article>" in page or "<main>" in page:
+        other += '<div class="related"><article><p>' + "A teaser of another page that is not this article. " * 4 + "</p></article></div>"
+    text = html_text.main_text(page.replace("</body>", other + "</body>"), html_text.grown_tree())[0]
+    assert "The title of the story" in text and "first paragraph" in text and "second one" in text
+    assert "no article at all" not in text and "teaser" not in text
+
+
 def test_tree_learns_its_table():
     rows = np.array(html_text.LABELLED, float)
     assert (html_text.grown_tree().predict(rows[:, :-1]) == (rows[:, -1] > 0)).all()
