@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # documents with equal sets are one; its smallest id stands for it
     same = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     many = cut(same.filter("copies > 1").drop("copies"))
-    of_copy = usable.join(many, ["set_a", "set_b", "n_shingles"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    copies = cut(of_copy.filter("a <> b"))
-    ids = usable.join(copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    of_copy = cut(usable.join(many, ["set_a", "set_b", "n_shingles"]).filter("id <> doc_id").select("id", "doc_id", "set_a", "set_b", "n_shingles"))
+    copies = of_copy.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    # an id that comes again with another text stays with that
+    ids = usable.join(of_copy.drop("id").distinct(), ["doc_id", "set_a", "set_b", "n_shingles"], "left_anti")
     ids = ids.dropDuplicates(["doc_id", "set_a", "set_b"]).withColumnRenamed("doc_id", "id")
     sketch = cut(ids.select("id", "n_shingles", *SKETCH))
     texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")

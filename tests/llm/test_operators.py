@@ -124,6 +124,13 @@ def test_near_duplicates(spark):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+def test_near_duplicates_of_an_id_with_a_copy_and_another_text(spark, tmp_path):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = stored(frame(spark, [(3, a, "a"), (7, a, "a"), (7, b, "a"), (9, b + " more", "a"), (11, "another text of its own", "a")]), tmp_path)
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {(3, 3, True), (7, 3, False), (9, 3, False), (11, 11, True)}
+
+
 def test_near_duplicates_of_nothing_and_without_id(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     found = near_dedup.near_duplicates(frame(spark, [(None, "a b c d e f", "x"), (2, "a b c d e f", "x")])).collect()
