@@ -80,6 +80,12 @@ def test_all_words_of_a_line_come_apart(spark):
     assert found[3]["words"] == "the cat"
 
 
+def test_all_wide_gaps_of_a_level_part_a_page(spark):
+    words = spark.createDataFrame([(1, 0, 100.0 * k + 12 * n) for k in range(10) for n in range(3)], "doc_id long, page_idx long, top double")
+    found = strict.xy_cut(words).orderBy("region").collect()
+    assert [(r["n_rows"], r["top"], r["bottom"]) for r in found] == [(3, 100.0 * k, 100.0 * k + 24) for k in range(10)]
+
+
 def test_failing_pages_do_not_end_the_job(spark):
     rows = spark.createDataFrame([("a", b"x"), ("b", b"bad"), ("c", b"")], "path string, content binary")
 
