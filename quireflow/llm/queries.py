@@ -45,7 +45,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {

@@ -218,6 +218,54 @@ def test_removal_of_repeats(spark, monkeypatch, seed, share):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == dict(zip([r[0] for r in rows], brute_removal([r[1] for r in rows], 40), strict=True))
 
 
+def prose(seed, n):
+    """Texts that share strings of 380 to 900 bytes and passages of 45 to 60 words, once within a text."""
+    rnd = random.Random(seed)
+    words = lambda k: " ".join("".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(1, 9))) for _ in range(k))
+    passages = [words(rnd.choice((45, 50, 51, 52, 55, 60, 120))) for _ in range(20)] + [words(400)[:k] for k in (390, 395, 399, 400, 405)]
+    rows = [(k, " ".join([words(rnd.randint(0, 80)), *(f"{rnd.choice(passages)} {words(rnd.randint(0, 30))}" for _ in range(rnd.randint(0, 2)))]), "a") for k in range(n)]
+    return [*rows, (n, " ".join([words(9), passages[0], words(5), passages[0]]), "a"), (n + 1, rows[3][1], "a"), (None, None, "a"), (None, rows[4][1], "a"), (7, rows[7][1], "a"), (n + 2, words(30_000), "a")]
+
+
+def brute_passages(texts, k=51):
+    """Whether a text has a run of k words that another row's text has."""
+    runs = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in ((t or "").split() for t in texts)]
+    seen = Counter(x for r in runs for x in r)
+    return [any(seen[x] > 1 for x in r) for r in runs]
+
+
+@pytest.mark.parametrize("share", [15, 20_000])
+def test_removal_at_its_own_length_and_passages(spark, monkeypatch, share):
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)
+    rows = prose(11, 120)
+    texts = [t for _, t, _ in rows]
+    found = suffix_dedup.digest(suffix_dedup.find_repeats(frame(spark, rows, extra=True))).collect()
+    want = Counter((i, *b, h) for (i, _, _), b, h in zip(rows, brute_removal(texts, 400), brute_passages(texts), strict=True))
+    assert Counter((*tuple(r)[:5], r["has_passage"]) for r in found) == want
+    assert 20 < sum(h for *_, h in want) < 110 and any(not n and h for _, _, n, _, _, h in want)
+    for r in found:
+        assert sum(b - a for a, b in r["removed"]) == r["n_removed"]
+
+
+def test_removal_does_not_depend_on_how_the_table_is_split(spark, tmp_path):
+    rows = prose(12, 60)
+    docs = stored(frame(spark, rows).repartition(7), tmp_path)
+    want = Counter(map(str, suffix_dedup.remove_repeats(docs).collect()))
+    found = suffix_dedup.remove_repeats(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert Counter(map(str, found.collect())) == Counter(map(str, suffix_dedup.remove_repeats(docs).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_second_hash_tells_regular_strings_apart():
+    a = np.array([k.bit_count() & 1 for k in range(4096)], np.uint8) + 97
+    data = np.concatenate([a, 195 - a])
+    starts = np.array([0, 4096])
+    assert len(np.unique(suffix_dedup._Strings(data).hash(starts, starts + 4096, 1))) == 2
+
+
 def test_removal_from_nothing(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
     found = suffix_dedup.remove_repeats(frame(spark, [(1, "short", "a"), (2, "short", "a"), (3, None, "a")])).collect()
@@ -228,7 +276,7 @@ def test_loser_tree_merges_front_coded_runs():
     rnd = random.Random(8)
     runs = []
     for r in range(7):
-        run = sorted(("".join(rnd.choice("ab") for _ in range(12)).encode(), r, k) for k in range(rnd.randint(0, 30)))
+        run = sorted(("".join(rnd.choice("ab") for _ in range(12)).encode(), b"%016d" % r, k) for k in range(rnd.randint(0, 30)))
         runs.append(run)
     coded = [suffix_dedup.front_decode(suffix_dedup.front_code(r)) for r in runs]
     merged = list(suffix_dedup.LoserTree(coded))
