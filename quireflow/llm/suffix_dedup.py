@@ -40,8 +40,8 @@ from .textkit import batches, encode, mix, tokens
 
 LENGTH = 400
 GRAM = 16
-#: Words of a passage.
-PASSAGE = 51
+#: Words of a passage, and of the part of it by which passages are found.
+PASSAGE, PART = 51, 12
 #: Suffixes in a task's share of the sort, and suffixes sampled for each cut through a half string that fills several.
 SHARE, SAMPLED = 20_000, 16
 RUN = 20_000
@@ -130,9 +130,9 @@ def word_anchors(raw: list[bytes], passage: int = PASSAGE) -> tuple[_Strings, np
     runs, half, none = _Strings(words), (passage + 1) // 2, np.zeros(0, np.int64)
     if len(words) < passage:
         return runs, first, none, none, none, none
-    at = np.arange(len(words) - half + 1)
-    value = (runs.hash(at, at + half) & ~np.uint64(0xFFFFFFFF)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
-    chosen = (np.uint64(0xFFFFFFFF) - (_sliding_least(value, passage - half + 1) & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    at = np.arange(len(words) - PART + 1)
+    value = (runs.hash(at, at + PART) & ~np.uint64(0xFFFFFFFF)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+    chosen = (np.uint64(0xFFFFFFFF) - (_sliding_least(value, passage - PART + 1) & np.uint64(0xFFFFFFFF))).astype(np.int64)
     starts = np.arange(len(words) - passage + 1)
     text = np.searchsorted(first, starts, "right") - 1
     inside = starts + passage <= first[text + 1]
@@ -151,7 +151,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def _survey(texts: DataFrame, length: int, passage: int) -> DataFrame:
-    """doc_id, key, sha256, n_bytes, n_words, and the hashes of the anchors' half strings (keys) and half passages (cores)."""
+    """row, doc_id, rank, key, sha256, n_bytes, n_words, and the hashes of the anchors' half strings (keys) and parts of passages (cores)."""
 
     def read(parts):
         for pdf in parts:
@@ -162,15 +162,16 @@ def _survey(texts: DataFrame, length: int, passage: int) -> DataFrame:
                 found = _long(strings.hash(place, place + length // 2)) if len(place) else np.zeros(0, np.int64)
                 keys += np.split(found, np.searchsorted(text, np.arange(1, hi - lo)))
                 runs, first, text, place, _, _ = word_anchors(raw[lo:hi], passage)
-                found = _long(runs.hash(place, place + (passage + 1) // 2)) if len(place) else np.zeros(0, np.int64)
+                found = _long(runs.hash(place, place + PART)) if len(place) else np.zeros(0, np.int64)
                 cores += [np.unique(x) for x in np.split(found, np.searchsorted(text, np.arange(1, hi - lo)))]
                 n_words += np.diff(first).tolist()
             pdf["n_bytes"], pdf["n_words"] = [len(b) for b in raw], n_words
             pdf["keys"], pdf["cores"] = keys, cores
             yield pdf.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, key binary, sha256 string, n_bytes long, n_words long, keys array<long>, cores array<long>"
-    return in_batches(texts.select("doc_id", "key", "sha256", "text")).mapInPandas(read, schema)
+    schema = "row long, doc_id long, rank long, key binary, sha256 string, n_bytes long, n_words long, keys array<long>, cores array<long>"
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "rank", "key", "sha256", "text")
+    return in_batches(numbered).mapInPandas(read, schema)
 
 
 def _of_document(text: str, wanted: list, length: int):
@@ -185,7 +186,7 @@ def _names(schema: str) -> list[str]:
     return [c.split(" ")[0] for c in schema.split(", ")]
 
 
-_CLASS = "key binary, i int, core long, e1 long, e2 long, lo long, hi long"
+_CLASS = "row long, i int, core long, e1 long, e2 long, lo long, hi long"
 
 
 def _classes(candidates: DataFrame, length: int) -> DataFrame:
@@ -194,17 +195,17 @@ def _classes(candidates: DataFrame, length: int) -> DataFrame:
     def read(parts):
         for pdf in parts:
             out = []
-            for key, text, wanted in zip(pdf["key"], pdf["text"], pdf["wanted"], strict=True):
+            for row, text, wanted in zip(pdf["row"], pdf["text"], pdf["wanted"], strict=True):
                 _, s, i, a, lo, hi = _of_document(text, wanted, length)
                 place = mix((a - lo).astype(np.uint64) * np.uint64(length) + (hi - lo).astype(np.uint64))
                 pair = [_long(mix(s.hash(lo, hi + length, k) + place)) for k in (0, 1)]
-                out.append(pd.DataFrame({"key": [key] * len(i), "i": i, "core": _long(s.hash(a, a + length // 2)), "e1": pair[0], "e2": pair[1], "lo": lo, "hi": hi}))
+                out.append(pd.DataFrame({"row": [row] * len(i), "i": i, "core": _long(s.hash(a, a + length // 2)), "e1": pair[0], "e2": pair[1], "lo": lo, "hi": hi}))
             yield pd.concat(out) if out else pd.DataFrame(columns=_names(_CLASS))
 
-    return candidates.select("key", "text", "wanted").mapInPandas(read, _CLASS)
+    return candidates.select("row", "text", "wanted").mapInPandas(read, _CLASS)
 
 
-_CONTEXT = "key binary, i int, core long, alone boolean, behind binary, before binary, at long, lo long, hi long"
+_CONTEXT = "row long, i int, core long, alone boolean, behind binary, before binary, at long, lo long, hi long"
 
 
 def _contexts(chosen: DataFrame, length: int) -> DataFrame:
@@ -217,7 +218,7 @@ def _contexts(chosen: DataFrame, length: int) -> DataFrame:
     def read(parts):
         for pdf in parts:
             out = []
-            for key, text, wanted, alone in zip(pdf["key"], pdf["text"], pdf["wanted"], pdf["alone"], strict=True):
+            for row, text, wanted, alone in zip(pdf["row"], pdf["text"], pdf["wanted"], pdf["alone"], strict=True):
                 order = np.argsort(wanted)
                 raw, s, i, a, lo, hi = _of_document(text, wanted, length)
                 c1, c2 = (s.hash(a, a + half, k) for k in (0, 1))
@@ -225,7 +226,7 @@ def _contexts(chosen: DataFrame, length: int) -> DataFrame:
                     core = struct.pack(">QQ", int(c1[k]), int(c2[k]))
                     behind = raw[p + half : p + length].ljust(half, b"\xff")
                     before = raw[max(0, p - half) : p][::-1].ljust(half, b"\xff")
-                    out.append((key, i[k], int(_long(c1[k : k + 1])[0]), bool(alone[order[k]]), core + behind, before, p, lo[k], hi[k]))
+                    out.append((row, i[k], int(_long(c1[k : k + 1])[0]), bool(alone[order[k]]), core + behind, before, p, lo[k], hi[k]))
                 if len(out) >= 2000:
                     yield pd.DataFrame(out, columns=_names(_CONTEXT))
                     out = []
@@ -243,33 +244,33 @@ def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return known + len(x) - (n.bit_length() + 7) // 8
 
 
-#: How a suffix is headed in a run: its text's key, its place, the length of the shared prefix and that of the rest.
-_HEAD = struct.Struct("<16siHH")
+#: How a suffix is headed in a run: its text's row, its place, the length of the shared prefix and that of the rest.
+_HEAD = struct.Struct("<qiHH")
 
 
-def front_code(run: list[tuple[bytes, bytes, int]]) -> bytes:
+def front_code(run: list[tuple[bytes, int, int]]) -> bytes:
     """A sorted run: of each suffix its place, the length of the prefix shared with the one before, and the rest."""
     out, last = [], b""
-    for s, key, i in run:
+    for s, row, i in run:
         h = shared_prefix(last, s) if last else 0
-        out.append(_HEAD.pack(key, i, h, len(s) - h) + s[h:])
+        out.append(_HEAD.pack(row, i, h, len(s) - h) + s[h:])
         last = s
     return b"".join(out)
 
 
 def front_decode(data: bytes):
-    """(suffix, key, i, shared with the one before) of a front-coded run."""
+    """(suffix, row, i, shared with the one before) of a front-coded run."""
     at, last = 0, b""
     while at < len(data):
-        key, i, h, n = _HEAD.unpack_from(data, at)
+        row, i, h, n = _HEAD.unpack_from(data, at)
         at += _HEAD.size
         last = last[:h] + data[at : at + n]
         at += n
-        yield last, key, i, h
+        yield last, row, i, h
 
 
 class LoserTree:
-    """Merges sorted runs of (suffix, key, i, shared with the one before in the run).
+    """Merges sorted runs of (suffix, row, i, shared with the one before in the run).
 
     Each run's head carries the length of the prefix it shares with the suffix last put out. The head with the longer
     one is the smaller, without a look at the strings; only heads with equal lengths are compared, and only beyond it.
@@ -311,11 +312,11 @@ class LoserTree:
         self.winner = r
 
     def __iter__(self):
-        """(suffix, key, i, shared with the one before)."""
+        """(suffix, row, i, shared with the one before)."""
         while self.winner >= 0 and self.heads[self.winner] is not None:
             w = self.winner
-            s, key, i, _ = self.heads[w]
-            yield s, key, i, self.shared[w]
+            s, row, i, _ = self.heads[w]
+            yield s, row, i, self.shared[w]
             self.heads[w] = next(self.runs[w], None)
             if self.heads[w] is not None:
                 self.shared[w] = self.heads[w][3]
@@ -323,9 +324,9 @@ class LoserTree:
 
 
 def _oriented(pdf: pd.DataFrame, kind: int):
-    """(suffix, key, i): kind 0 by what follows the anchor, kind 1 by what precedes it."""
-    for behind, before, key, i in zip(pdf["behind"], pdf["before"], pdf["key"], pdf["i"], strict=True):
-        yield (behind + before if kind == 0 else behind[:16] + before + behind[16:]), key, i
+    """(suffix, row, i): kind 0 by what follows the anchor, kind 1 by what precedes it."""
+    for behind, before, row, i in zip(pdf["behind"], pdf["before"], pdf["row"], pdf["i"], strict=True):
+        yield (behind + before if kind == 0 else behind[:16] + before + behind[16:]), row, i
 
 
 def _runs(contexts: DataFrame, shares: int, cuts: dict[bytes, tuple[int, list[list]]]) -> DataFrame:
@@ -379,10 +380,10 @@ def _runs(contexts: DataFrame, shares: int, cuts: dict[bytes, tuple[int, list[li
         for kind in (0, 1):
             yield pd.DataFrame(list(put(held[kind], kind)), columns=["share", "run", "data"])
 
-    return contexts.select("key", "i", "behind", "before").mapInPandas(sort, "share long, run long, data binary")
+    return contexts.select("row", "i", "behind", "before").mapInPandas(sort, "share long, run long, data binary")
 
 
-_MATCH = "key binary, i int, before int, behind int, both array<int>"
+_MATCH = "row long, i int, before int, behind int, both array<int>"
 
 
 def _merge_share(half: int):
@@ -390,16 +391,16 @@ def _merge_share(half: int):
         kind = int(pdf["share"].iloc[0]) % 2
         tree = LoserTree([front_decode(d) for d in pdf.sort_values("run")["data"]])
         out, last = [], None
-        for s, key, i, h in tree:
+        for s, row, i, h in tree:
             if last and h >= 16:  # the half strings are the same
                 x, y = last[0], s
                 one = min(h - 16, half)
                 two = h - 16 - half if h >= 16 + half else shared_prefix(x[16 + half :], y[16 + half :])
                 behind, before = (one, two) if kind == 0 else (two, one)
-                for e in (last, (s, key, i)):
+                for e in (last, (s, row, i)):
                     out.append((e[1], e[2], before, behind))
-            last = s, key, i
-        found = pd.DataFrame(out, columns=["key", "i", "before", "behind"])
+            last = s, row, i
+        found = pd.DataFrame(out, columns=["row", "i", "before", "behind"])
         found["both"] = [[b, r] for b, r in zip(found["before"], found["behind"], strict=True)]
         return found
 
@@ -413,7 +414,7 @@ def _cuts(contexts: DataFrame) -> dict[bytes, tuple[int, list[list]]]:
     cuts: dict = {}
     if many.isEmpty():
         return cuts
-    sample = contexts.join(many.drop("n"), "core").select("key", "i", "behind", "before").sample(fraction=min(1.0, SAMPLED / SHARE), seed=1).toPandas()
+    sample = contexts.join(many.drop("n"), "core").select("row", "i", "behind", "before").sample(fraction=min(1.0, SAMPLED / SHARE), seed=1).toPandas()
     number = 0
     for core, n in many.orderBy("core").collect():
         head = struct.pack(">q", core)
@@ -428,98 +429,104 @@ def _cuts(contexts: DataFrame) -> dict[bytes, tuple[int, list[list]]]:
 
 
 def _sorted_matches(contexts: DataFrame, half: int) -> DataFrame:
-    """key, i, before, behind (the most that any other shares on either side) and pairs (what one other shares)."""
+    """row, i, before, behind (the most that any other shares on either side) and pairs (what one other shares)."""
     shares = max(1, -(-contexts.count() // SHARE))
     runs = _runs(contexts, shares, _cuts(contexts))
     pairs = runs.groupBy("share").applyInPandas(_merge_share(half), _MATCH)
-    return pairs.groupBy("key", "i").agg(F.max("before").alias("before"), F.max("behind").alias("behind"), F.collect_set("both").alias("pairs"))
+    return pairs.groupBy("row", "i").agg(F.max("before").alias("before"), F.max("behind").alias("behind"), F.collect_set("both").alias("pairs"))
 
 
-def _candidates(texts: DataFrame, one: DataFrame) -> DataFrame:
-    """key, text, wanted (anchors) and cores (of words) of every text that shares a half string or half passage."""
-    mine = one.select("key", "rank", F.posexplode("keys").alias("i", "hash"))
-    repeated = mine.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    wanted = mine.join(cut(repeated), "hash").groupBy("key", "rank").agg(F.collect_set("i").alias("wanted"))
-    words = one.select("key", "rank", F.explode("cores").alias("core"))
-    shared = words.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    cores = words.join(cut(shared), "core").groupBy("key", "rank").agg(F.collect_set("core").alias("cores"))
+def _candidates(texts: DataFrame, survey: DataFrame, others: DataFrame) -> DataFrame:
+    """row, text, wanted (anchors) and cores (of words) of every text that shares a half string or a part of a passage.
+
+    The survey's rows fix their numbers; a text is found again by its hash and id.
+    """
+    one = cut(survey.select("row", "keys", "cores").join(others, "row", "left_anti"))
+
+    def shared(hashes: DataFrame, name: str):
+        repeated = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+        return hashes.join(cut(repeated), "hash").groupBy("row").agg(F.collect_set(name).alias(name))
+
+    wanted = shared(one.select("row", F.posexplode("keys").alias("i", "hash")), "i").withColumnRenamed("i", "wanted")
+    cores = shared(one.select("row", F.explode("cores").alias("hash")), "hash").withColumnRenamed("hash", "cores")
+    named = wanted.join(cores, "row", "full").join(survey.select("row", "key", "rank"), "row")
     path = fresh_dir(texts.sparkSession, "candidates")
-    texts.select("key", "rank", "text").join(wanted.join(cores, ["key", "rank"], "full"), ["key", "rank"]).drop("rank").write.parquet(path)
+    texts.select("key", "rank", "text").join(named, ["key", "rank"]).drop("key", "rank").write.parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
 def _repeated_starts(candidates: DataFrame, length: int) -> DataFrame:
-    """key, starts: of each candidate the first and last starts of repeated strings, as pairs."""
+    """row, starts: of each candidate the first and last starts of repeated strings, as pairs."""
     half = length // 2
     candidates = candidates.filter("wanted IS NOT NULL")
     found = cut(_classes(candidates, length))
-    classes = found.groupBy("core", "e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "i")).alias("one"))
-    classes = cut(classes.select("core", "e1", "e2", "n", "one.key", "one.i"))
-    whole = found.join(classes.filter("n > 1").select("core", "e1", "e2"), ["core", "e1", "e2"]).select("key", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    classes = found.groupBy("core", "e1", "e2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "i")).alias("one"))
+    classes = cut(classes.select("core", "e1", "e2", "n", "one.row", "one.i"))
+    whole = found.join(classes.filter("n > 1").select("core", "e1", "e2"), ["core", "e1", "e2"]).select("row", F.col("lo").alias("first"), F.col("hi").alias("last"))
 
     several = cut(classes.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core"))
-    chosen = classes.join(several, "core").groupBy("key").agg(F.collect_list(F.struct("i", (F.col("n") == 1).alias("alone"))).alias("c"))
-    chosen = candidates.select("key", "text").join(chosen.select("key", F.col("c.i").alias("wanted"), F.col("c.alone").alias("alone")), "key")
+    chosen = classes.join(several, "core").groupBy("row").agg(F.collect_list(F.struct("i", (F.col("n") == 1).alias("alone"))).alias("c"))
+    chosen = candidates.select("row", "text").join(chosen.select("row", F.col("c.i").alias("wanted"), F.col("c.alone").alias("alone")), "row")
     kept = fresh_dir(candidates.sparkSession, "contexts")
     _contexts(chosen, length).write.parquet(kept)
     contexts = candidates.sparkSession.read.parquet(kept)
     matches = cut(_sorted_matches(contexts, half))
-    decided = cut(_decided(contexts.select("key", "i", "core", "alone", "at", "lo", "hi").join(matches, ["key", "i"]), length))
-    sure = decided.select("key", F.explode("sure").alias("s")).select("key", F.col("s")[0].alias("first"), F.col("s")[1].alias("last"))
+    decided = cut(_decided(contexts.select("row", "i", "core", "alone", "at", "lo", "hi").join(matches, ["row", "i"]), length))
+    sure = decided.select("row", F.explode("sure").alias("s")).select("row", F.col("s")[0].alias("first"), F.col("s")[1].alias("last"))
     spans = whole.union(sure)
 
     open_cores = decided.filter("open").select("core").distinct()
-    asked = cut(decided.join(open_cores, "core", "left_semi").filter("from_ <= to_").select("key", "i", "from_", "to_"))
+    asked = cut(decided.join(open_cores, "core", "left_semi").filter("from_ <= to_").select("row", "i", "from_", "to_"))
     if not asked.isEmpty():
-        windows = cut(_windows(contexts.join(asked, ["key", "i"]), length))
+        windows = cut(_windows(contexts.join(asked, ["row", "i"]), length))
         twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-        spans = spans.union(windows.join(cut(twice), ["w1", "w2"]).select("key", F.col("start").alias("first"), F.col("start").alias("last")))
-    return spans.groupBy("key").agg(F.collect_set(F.array("first", "last")).alias("starts"))
+        spans = spans.union(windows.join(cut(twice), ["w1", "w2"]).select("row", F.col("start").alias("first"), F.col("start").alias("last")))
+    return spans.groupBy("row").agg(F.collect_set(F.array("first", "last")).alias("starts"))
 
 
 def _wanted_runs(text: str, wanted: list, passage: int, by_place: bool):
     """A text's runs of words and, of its anchors with a wanted core or place, the core, place and starts."""
     runs, _, _, place, lo, hi = word_anchors([encode(text)], passage)
-    core = _long(runs.hash(place, place + (passage + 1) // 2)) if len(place) else place
+    core = _long(runs.hash(place, place + PART)) if len(place) else place
     mine = np.isin(place if by_place else core, np.array(wanted, np.int64))
     return runs, core[mine], place[mine], lo[mine], hi[mine]
 
 
 def _holding_passages(candidates: DataFrame, passage: int) -> DataFrame:
-    """key of every candidate that shares a run of `passage` words with another.
+    """row of every candidate that shares a run of `passage` words with another.
 
     First those that share all passages around an anchor. Of the others, passages are compared one by one with those
-    around the same half passage, one of each kind of them; a text is decided by its first hit, so few are left.
+    around the same part, one of each kind of them; a text is decided by its first hit, so few are left.
     """
     candidates = candidates.filter("cores IS NOT NULL")
 
     def ranges(parts):
         for pdf in parts:
             out = []
-            for key, text, wanted in zip(pdf["key"], pdf["text"], pdf["cores"], strict=True):
+            for row, text, wanted in zip(pdf["row"], pdf["text"], pdf["cores"], strict=True):
                 runs, core, place, lo, hi = _wanted_runs(text, wanted, passage, False)
                 at = mix((place - lo).astype(np.uint64) * np.uint64(passage) + (hi - lo).astype(np.uint64))
-                out.append(pd.DataFrame({"key": [key] * len(core), "core": core, "e": _long(mix(runs.hash(lo, hi + passage, 1) + at)), "place": place}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["key", "core", "e", "place"])
+                out.append(pd.DataFrame({"row": [row] * len(core), "core": core, "e": _long(mix(runs.hash(lo, hi + passage, 1) + at)), "place": place}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["row", "core", "e", "place"])
 
     def windows(parts):
         for pdf in parts:
-            for key, text, wanted in zip(pdf["key"], pdf["text"], pdf["places"], strict=True):
+            for row, text, wanted in zip(pdf["row"], pdf["text"], pdf["places"], strict=True):
                 runs, _, _, lo, hi = _wanted_runs(text, wanted, passage, True)
                 at = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]) if len(lo) else lo
                 w1, w2 = (np.unique(np.stack([_long(runs.hash(at, at + passage, k)) for k in (0, 1)]), axis=1)) if len(at) else (at, at)
-                yield pd.DataFrame({"key": [key] * len(w1), "w1": w1, "w2": w2})
+                yield pd.DataFrame({"row": [row] * len(w1), "w1": w1, "w2": w2})
 
-    found = cut(candidates.select("key", "text", "cores").mapInPandas(ranges, "key binary, core long, e long, place long"))
-    kinds = cut(found.groupBy("core", "e").agg(F.min(F.struct("key", "place")).alias("one"), F.max("key").alias("other")))
-    same = kinds.filter("one.key <> other").select("core", "e")
-    holding = cut(found.join(same, ["core", "e"], "left_semi").select("key").distinct())
-    open_ = found.join(holding, "key", "left_anti").select("core").distinct()
+    found = cut(candidates.select("row", "text", "cores").mapInPandas(ranges, "row long, core long, e long, place long"))
+    kinds = cut(found.groupBy("core", "e").agg(F.min(F.struct("row", "place")).alias("one"), F.max("row").alias("other")))
+    same = kinds.filter("one.row <> other").select("core", "e")
+    holding = cut(found.join(same, ["core", "e"], "left_semi").select("row").distinct())
+    open_ = found.join(holding, "row", "left_anti").select("core").distinct()
     open_ = kinds.join(open_, "core", "left_semi").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    places = kinds.join(open_, "core", "left_semi").groupBy(F.col("one.key").alias("key")).agg(F.collect_set("one.place").alias("places"))
-    single = cut(candidates.select("key", "text").join(places, "key").mapInPandas(windows, "key binary, w1 long, w2 long"))
-    twice = single.groupBy("w1", "w2").agg(F.min("key").alias("one"), F.max("key").alias("other")).filter("one <> other").select("w1", "w2")
-    return holding.union(single.join(twice, ["w1", "w2"], "left_semi").select("key")).distinct()
+    places = kinds.join(open_, "core", "left_semi").groupBy(F.col("one.row").alias("row")).agg(F.collect_set("one.place").alias("places"))
+    single = cut(candidates.select("row", "text").join(places, "row").mapInPandas(windows, "row long, w1 long, w2 long"))
+    twice = single.groupBy("w1", "w2").agg(F.min("row").alias("one"), F.max("row").alias("other")).filter("one <> other").select("w1", "w2")
+    return holding.union(single.join(twice, ["w1", "w2"], "left_semi").select("row")).distinct()
 
 
 def _decided(matched: DataFrame, length: int) -> DataFrame:
@@ -542,27 +549,27 @@ def _decided(matched: DataFrame, length: int) -> DataFrame:
                 open_.append(bool(alone and reached <= b))
                 first.append(a)
                 last.append(b)
-            yield pdf[["key", "i", "core"]].assign(sure=sure, open=open_, from_=first, to_=last)
+            yield pdf[["row", "i", "core"]].assign(sure=sure, open=open_, from_=first, to_=last)
 
-    return matched.mapInPandas(decide, "key binary, i int, core long, sure array<array<long>>, open boolean, from_ long, to_ long")
+    return matched.mapInPandas(decide, "row long, i int, core long, sure array<array<long>>, open boolean, from_ long, to_ long")
 
 
 def _windows(asked: DataFrame, length: int) -> DataFrame:
-    """key, start and a hash pair of the string, for every start in question."""
+    """row, start and a hash pair of the string, for every start in question."""
     half = length // 2
 
     def read(parts):
         for pdf in parts:
-            for key, at, behind, before, first, last in zip(pdf["key"], pdf["at"], pdf["behind"], pdf["before"], pdf["from_"], pdf["to_"], strict=True):
+            for row, at, behind, before, first, last in zip(pdf["row"], pdf["at"], pdf["behind"], pdf["before"], pdf["from_"], pdf["to_"], strict=True):
                 # the half string itself is the same wherever its hashes are: its 16 hash bytes stand for it
                 data = np.frombuffer(before[::-1] + behind, np.uint8)
                 s, starts = _Strings(data), np.arange(first, last + 1)
                 lo = starts - at + half
                 hi = lo + length - half + 16
                 place = mix((at - starts).astype(np.uint64))
-                yield pd.DataFrame({"key": [key] * len(starts), "start": starts, **{f"w{k + 1}": _long(mix(s.hash(lo, hi, k) + place)) for k in (0, 1)}})
+                yield pd.DataFrame({"row": [row] * len(starts), "start": starts, **{f"w{k + 1}": _long(mix(s.hash(lo, hi, k) + place)) for k in (0, 1)}})
 
-    return asked.select("key", "at", "behind", "before", "from_", "to_").mapInPandas(read, "key binary, start long, w1 long, w2 long")
+    return asked.select("row", "at", "behind", "before", "from_", "to_").mapInPandas(read, "row long, start long, w1 long, w2 long")
 
 
 def _merged(starts: list, length: int) -> list[list[int]]:
@@ -598,28 +605,25 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha256"), text.alias("text"))
     texts = texts.withColumn("key", F.unhex(F.substring("sha256", 1, 32))).withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63))))
     survey = cut(_survey(texts, length, passage))
-
-    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    copied = survey.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("least")).filter("copies > 1")
-    copied = cut(copied.select("key", "least"))
-    one = survey.select("key", "keys", "cores", rank.alias("rank")).join(copied, "key", "left").filter("least IS NULL OR rank = least")
-    candidates = _candidates(texts, one)
+    copied = survey.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rank", "row")).alias("one")).filter("copies > 1")
+    copied = cut(copied.select("key", "one.row"))
+    copies = cut(survey.select("key", "row").join(copied.select("key", F.col("row").alias("first")), "key").select("row", "first"))
+    candidates = _candidates(texts, survey, copies.filter("row <> first").select("row"))
 
     def rest(parts):
         for pdf in parts:
             out = []
-            for key, t, starts in zip(pdf["key"], pdf["text"], pdf["starts"], strict=True):
+            for row, t, starts in zip(pdf["row"], pdf["text"], pdf["starts"], strict=True):
                 spans = _merged(starts, length)
-                out.append((key, spans, hashlib.sha256(_without(encode(t), spans)).hexdigest()))
-            yield pd.DataFrame(out, columns=["key", "spans", "left_sha"])
+                out.append((row, spans, hashlib.sha256(_without(encode(t), spans)).hexdigest()))
+            yield pd.DataFrame(out, columns=["row", "spans", "left_sha"])
 
-    partly = candidates.select("key", "text").join(_repeated_starts(candidates, length), "key")
-    partly = partly.mapInPandas(rest, "key binary, spans array<array<long>>, left_sha string").withColumn("kind", F.lit("p"))
+    partly = candidates.select("row", "text").join(_repeated_starts(candidates, length), "row")
+    partly = partly.mapInPandas(rest, "row long, spans array<array<long>>, left_sha string").withColumn("kind", F.lit("p"))
     holding = _holding_passages(candidates, passage).withColumn("kind", F.lit("w"))
-    known = partly.unionByName(holding, allowMissingColumns=True).unionByName(copied.select("key", F.lit("c").alias("kind")), allowMissingColumns=True)
-    kinds = F.collect_set("kind")
-    known = cut(known.groupBy("key").agg(kinds.alias("kinds"), F.first("spans", True).alias("spans"), F.first("left_sha", True).alias("left_sha")))
-    joined = survey.drop("keys", "cores").join(known, "key", "left")
+    known = partly.unionByName(holding, allowMissingColumns=True).unionByName(copies.select("row", F.lit("c").alias("kind")), allowMissingColumns=True)
+    known = cut(known.groupBy("row").agg(F.collect_set("kind").alias("kinds"), F.first("spans", True).alias("spans"), F.first("left_sha", True).alias("left_sha")))
+    joined = survey.select("row", "doc_id", "sha256", "n_bytes", "n_words").join(known, "row", "left")
     copy = F.coalesce(F.array_contains("kinds", "c"), F.lit(False))
     whole = copy & (F.col("n_bytes") >= length)
     no_spans = F.array().cast("array<array<bigint>>")
