@@ -88,3 +88,22 @@ def text_or_empty(column: str = "text"):
 def lower_ascii(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)
+
+
+def row_hash(df: DataFrame, *skipped: str) -> list:
+    """Two 64-bit hashes of a whole row (maps left out), which know it again when its table is read once more.
+
+    Unlike a number that a scan gives, they do not depend on how files are split among tasks, which changes with the
+    number of live executors. Rows that are equal in all columns have the same.
+    """
+    quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in skipped]
+    return [F.xxhash64(F.lit(seed), *[c.isNull() for c in quoted], *quoted) for seed in (11, 12)]
+
+
+def one_of_each(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows, with one of those that share a _h1 and _h2 in repeated, and all others."""
+    if repeated.isEmpty():
+        return rows
+    keys = ["_h1", "_h2"]
+    again = rows.join(repeated.select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return rows.join(repeated.select(*keys), keys, "left_anti").unionByName(again)

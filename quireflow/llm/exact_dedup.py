@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, shielded, text_or_empty
+from .common import cut, lower_ascii, one_of_each, row_hash, shielded, text_or_empty
 
 LEAST, MOST = 512, 4096
 
@@ -32,14 +32,16 @@ def _hash(chunk, bits: int):
     return [F.shiftrightunsigned(p, 64 - bits) for p in parts] if bits < 64 else parts
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST, hash_bits: int = 64, with_row: bool = False) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST, hash_bits: int = 64, with_hash: bool = False) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when they are identical after lower-casing A-Z. Null and empty texts are one group. The row with
     the largest id stays; null ids rank lowest, and of rows that repeat the largest id exactly one is kept. Other
-    columns of docs are neither read nor returned; an empty table gives an empty result.
+    columns of docs are neither read nor returned (with_hash adds the row hash over all of them); an empty table gives
+    an empty result. Texts are cut twice: to verify their chunks, and for the recipes, which are written down.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    h1, h2 = row_hash(docs) if with_hash else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), h1.alias("_h1"), h2.alias("_h2"))
     chunked = _with_chunks(base, "_text", least, most)
 
     pair = _hash(F.col("chunk"), hash_bits)
@@ -48,6 +50,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     lists = chunked.select(
         "_id",
+        "_h1",
+        "_h2",
         F.monotonically_increasing_id().alias("_row"),
         F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"),
         F.size("_chunks").cast("long").alias("n_chunks"),
@@ -55,9 +59,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     if shared.isEmpty():
         recipe = F.flatten(F.transform("_chunks", lambda c: F.array(*_hash(c, hash_bits))))
-        recipes = lists.select("_id", "_row", "text_sha256", "n_chunks", recipe.alias("recipe"))
+        recipes = lists.select("_id", "_h1", "_h2", "_row", "text_sha256", "n_chunks", recipe.alias("recipe"))
     else:
-        recipes = _recipes_past_collisions(lists, shared, hash_bits)
+        recipes = _recipes_past_collisions(cut(lists), shared, hash_bits)
+    recipes = cut(recipes)
 
     groups = recipes.groupBy("recipe").agg(F.max(F.struct("_id", "_row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # a join of two plain shuffles, in which a recipe that very many documents share is split
@@ -69,15 +74,20 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         (F.col("best").isNull() | (F.col("_row") == F.col("best._row"))).alias("kept"),
         "text_sha256",
         "n_chunks",
-        *(["_row"] if with_row else []),
+        *(["_h1", "_h2"] if with_hash else []),
     )
 
 
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are kept, as they were. docs must be a table, read the same way each time: rows are told apart by their place."""
-    gone = exact_groups(docs, with_row=True, **how).filter("NOT kept").select("_row")
+    """The rows of docs that are kept, as they were. Of rows that are equal in all columns one is kept."""
     plain, restored = shielded(docs)
-    return restored(plain.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti"))
+    names = {k: plain.columns[docs.columns.index(how.pop(k, default))] for k, default in (("id_col", "doc_id"), ("text_col", "text"))}
+    groups = cut(exact_groups(plain, with_hash=True, **names, **how).filter("group_size > 1").select("kept", "_h1", "_h2"))
+    of_row = groups.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    h1, h2 = row_hash(plain)
+    hashed = plain.withColumns({"_h1": h1, "_h2": h2})
+    left = hashed.join(of_row.filter("NOT kept").select("_h1", "_h2"), ["_h1", "_h2"], "left_anti")
+    return restored(one_of_each(left, cut(of_row.filter("kept AND n > 1").select("_h1", "_h2"))))
 
 
 def _recipes_past_collisions(lists: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
