@@ -1,9 +1,12 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed 1- and 2-grams, one of the target (documents labelled good) and one of all raw
-text, give each document the log ratio of its likelihoods. A document's key is that log weight, over a temperature,
-plus a Gumbel number drawn from its id and text; the documents with the k largest keys are the sample. k is the number
-of documents whose mean ratio is nearer to the good labelled documents than to the bad ones.
+Two generative models over hashed 1- and 2-grams, one of the target (documents labelled good) and one of all raw text,
+give each document the log ratio of its likelihoods, per n-gram and for a stated number of n-grams (EVIDENCE), so that
+a long text's weight does not drown the draw. A document's key is that log weight and a Gumbel number drawn from its id
+and text; the documents with the k largest keys are the sample, which are k draws by weight without replacement. k may
+be given. Otherwise it is the expected size of a sample that takes each document with probability 1 - exp(-exp(w - t)),
+t lying MARGIN below the median weight of good labelled documents: such a document is left out about twice in 10**9
+draws, and one whose weight is d below t is taken about exp(-d) of the time.
 """
 
 from __future__ import annotations
@@ -17,9 +20,10 @@ from .common import cut, held, in_batches, shielded
 from .textkit import batches, encode, ngrams
 
 BUCKETS = 1 << 16
-#: Labelled documents that the target model and the boundary are fitted on, at most: those with the smallest hashes.
+#: Labelled documents that the target model and the level are fitted on, at most: those with the smallest hashes.
 MOST_LABELLED = 20_000
-TEMPERATURE = 0.02
+#: n-grams that a document's evidence counts for, and how far below good documents the level of sampling lies.
+EVIDENCE, MARGIN = 5.0, 3.0
 SMOOTHING = 0.5
 SEED = 20_240_601
 BINS = 1024
@@ -33,23 +37,19 @@ def _chunks(texts: list, n_buckets: int):
         yield lo, *ngrams(raw[lo:hi], n_buckets)
 
 
-def _counts(docs: DataFrame, group: str | None, n_buckets: int) -> DataFrame:
-    """How often each bucket occurs in all texts (of each group); counts of a partition are summed up before the shuffle."""
+def _counts(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """How often each bucket occurs in all texts; counts of a partition are summed up before the shuffle."""
 
     def count(parts):
         held("quality")
-        sums: dict = {}
+        total = np.zeros(n_buckets, np.int64)
         for pdf in parts:
-            for g, part in pdf.groupby("g") if group else [(0, pdf)]:
-                total = sums.setdefault(g, np.zeros(n_buckets, np.int64))
-                for _, b, _ in _chunks(part["text"].tolist(), n_buckets):
-                    total += np.bincount(b, minlength=n_buckets)
-        for g, total in sums.items():
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"g": int(g), "bucket": used, "n": total[used]})
+            for _, b, _ in _chunks(pdf["text"].tolist(), n_buckets):
+                total += np.bincount(b, minlength=n_buckets)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": used, "n": total[used]})
 
-    narrow = docs.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), "text")
-    return in_batches(narrow).mapInPandas(count, "g int, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select("text")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -60,44 +60,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 
 
 class Model:
-    """log ratio of each bucket, and the mean ratio from which a document counts as good."""
+    """log ratio of each bucket, and the median log weight of good labelled documents (None without any)."""
 
-    def __init__(self, ratios: np.ndarray, boundary: float, n_buckets: int):
-        self.ratios, self.boundary, self.n_buckets = ratios, boundary, n_buckets
-
-
-def _boundary(good: np.ndarray, bad: np.ndarray) -> float:
-    """Halfway between the medians of the two labels' mean ratios; a few wrong labels do not move it."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    return float(np.median(good) + np.median(bad)) / 2
+    def __init__(self, ratios: np.ndarray, good: float | None, n_buckets: int):
+        self.ratios, self.good, self.n_buckets = ratios, good, n_buckets
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, n_buckets: int = BUCKETS, most: int = MOST_LABELLED, smoothing: float = SMOOTHING) -> Model:
-    """The raw model counts every document; the target model and the boundary take the labelled sample.
+    """The raw model counts every document; the target model and the level take the labelled sample.
 
-    The driver receives n_buckets counts a model and one number for each labelled document of the sample.
+    The driver receives n_buckets counts a model and one number for each good document of the sample.
     """
-    sample = cut(labelled_sample(docs, labels, most))
-    raw, by_quality = np.zeros(n_buckets), np.zeros((2, n_buckets))
-    for _, b, n in _counts(docs, None, n_buckets).collect():
-        raw[b] = n
-    for g, b, n in _counts(sample, "quality", n_buckets).collect():
-        by_quality[min(1, max(0, g)), b] = n
-    target = by_quality[1]
+    sample = cut(labelled_sample(docs, labels, most).filter("quality > 0").select("text"))
+    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
+    for counts, texts in ((raw, docs), (target, sample)):
+        for b, n in _counts(texts, n_buckets).collect():
+            counts[b] = n
     if not target.sum():
-        return Model(np.zeros(n_buckets), -np.inf, n_buckets)
+        return Model(np.zeros(n_buckets), None, n_buckets)
     share = lambda c: np.log((c + smoothing) / (c.sum() + smoothing * n_buckets))
     ratios = share(target) - share(raw)
 
     def means(parts):
         for pdf in parts:
             total, n = _sums(pdf["text"].tolist(), ratios, n_buckets)
-            yield pd.DataFrame({"quality": pdf["quality"].astype(int), "mean": total / np.maximum(n, 1)})[n > 0]
+            yield pd.DataFrame({"mean": (total / np.maximum(n, 1))[n > 0]})
 
-    rows = sample.mapInPandas(means, "quality int, mean double").collect()
-    good, bad = (np.array([m for q, m in rows if (q > 0) == wanted]) for wanted in (True, False))
-    return Model(ratios, _boundary(good, bad), n_buckets)
+    return Model(ratios, EVIDENCE * float(np.median([m for (m,) in sample.mapInPandas(means, "mean double").collect()])), n_buckets)
 
 
 def _sums(texts: list, ratios: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +99,9 @@ def _sums(texts: list, ratios: np.ndarray, n_buckets: int) -> tuple[np.ndarray,
     return total, n
 
 
-def score(docs: DataFrame, model: Model, *, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """docs with log_weight (against the boundary), n_grams and gumbel_key. Texts without tokens have weight 0."""
+def score(docs: DataFrame, model: Model, *, evidence: float = EVIDENCE, seed: int = SEED) -> DataFrame:
+    """docs with log_weight, n_grams and gumbel_key. Texts without tokens have weight 0."""
     ratios, n_buckets = model.ratios, model.n_buckets
-    boundary = model.boundary if np.isfinite(model.boundary) else 0.0
     noise = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     unit = (F.shiftrightunsigned(noise, 11).cast("double") + 0.5) / float(1 << 53)
 
@@ -121,9 +109,9 @@ def score(docs: DataFrame, model: Model, *, temperature: float = TEMPERATURE, se
         held("quality")
         for pdf in parts:
             total, n = _sums(pdf["text"].tolist(), ratios, n_buckets)
-            weight = np.round(total - boundary * n, 9)
+            weight = np.round(evidence * total / np.maximum(n, 1), 9)
             pdf["log_weight"], pdf["n_grams"] = weight, n
-            pdf["gumbel_key"] = weight / temperature - np.log(-np.log(pdf.pop("unit").to_numpy()))
+            pdf["gumbel_key"] = weight - np.log(-np.log(pdf.pop("unit").to_numpy()))
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -149,27 +137,36 @@ def kth_largest(keys: DataFrame, k: int, column: str = "gumbel_key") -> float:
     return float(lo)
 
 
-def resample(docs: DataFrame, labels: DataFrame, **how) -> tuple[DataFrame, float]:
-    """Scored docs, and the key from which a document is in the sample. Equal keys at the edge are all in it."""
-    fitting = {k: how.pop(k) for k in ("n_buckets", "most", "smoothing") if k in how}
+def sample_size(weights: DataFrame, model: Model, margin: float = MARGIN) -> int:
+    """The expected size of the sample at the model's level; all rows without one."""
+    if model.good is None:
+        return weights.count()
+    above = F.least(F.col("log_weight") - (model.good - margin), F.lit(30.0))
+    return round(weights.agg(F.sum(1 - F.exp(-F.exp(above)))).first()[0] or 0)
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, margin: float = MARGIN, **how) -> tuple[DataFrame, DataFrame, float]:
+    """Scored docs, their scores by id as written down, and the key from which a document is in the sample.
+
+    Equal keys at the edge are all in it.
+    """
+    fitting = {name: how.pop(name) for name in ("n_buckets", "most", "smoothing") if name in how}
     model = fit(docs, labels, **fitting)
-    scored = score(docs, model, **how)
-    keys = cut(score(docs.select("doc_id", "text"), model, **how).select("log_weight", "gumbel_key"))
-    k = keys.filter("log_weight >= 0").count()
-    return scored, kth_largest(keys, k)
+    scores = cut(score(docs.select("doc_id", "text"), model, **how).drop("text"))
+    return score(docs, model, **how), scores, kth_largest(scores, sample_size(scores, model, margin) if k is None else k)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, log_weight, n_grams, gumbel_key and selected for every row of docs.
 
-    Null and empty texts weigh 0, so they count as neither; without labelled good documents all are selected.
+    Null and empty texts weigh 0, as much as raw text on the average; without labelled good documents all are selected.
     """
-    scored, edge = resample(docs.select("doc_id", "text"), labels, **how)
-    return scored.drop("text").withColumn("selected", F.col("gumbel_key") >= edge)
+    _, scores, edge = resample(docs.select("doc_id", "text"), labels, **how)
+    return scores.withColumn("selected", F.col("gumbel_key") >= edge)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are in the sample, as they were."""
     plain, restored = shielded(docs, "doc_id", "text")
-    scored, edge = resample(plain, labels, **how)
+    scored, _, edge = resample(plain, labels, **how)
     return restored(scored.filter(F.col("gumbel_key") >= edge))
