@@ -78,10 +78,21 @@ ORACLE_SQL = {
                      (SELECT sum(g) FROM q) - (sum(g) OVER o - g) AS rs FROM q WINDOW o AS (ORDER BY cap / g, src)),
         f AS (SELECT lf, rs FROM l WHERE lf * g < cap * rs ORDER BY cap / g, src LIMIT 1),
         t AS (SELECT source, src, w, CASE WHEN lf * g < cap * rs THEN g * (SELECT lf FROM f) / (SELECT rs FROM f) ELSE cap END AS target FROM l),
-        p AS (SELECT d.doc_id, d.size, t.src, t.w, t.target, least(floor(t.target + 0.5), 2 * t.w)::BIGINT AS goal,
-                     (sum(d.size) OVER (PARTITION BY t.src ORDER BY k, d.doc_id) - d.size)::BIGINT AS a FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, w AS source_size, target, src::BIGINT AS src,
-               (CASE WHEN w = 0 THEN 0 ELSE (goal // w) * size + greatest(0, least(size, goal % w - a)) END)::BIGINT AS taken FROM p
+        b AS (SELECT *, (w + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS} AS blocks FROM t),
+        u AS (SELECT *, (CASE WHEN w > 0 THEN floor(target * blocks / w + 0.5::DOUBLE) ELSE 0 END)::BIGINT AS slots FROM b),
+        v AS (SELECT *, sum(slots) OVER (ORDER BY src) AS hi, sum(slots) OVER () AS n FROM u),
+        i AS (SELECT unnest(range((SELECT max(n) FROM v)::BIGINT)) AS slot),
+        y AS (SELECT slot, floor(slot / {mixing.STRIDE}.0::DOUBLE) * {mixing.STRIDE * mixing.GOLDEN % 1!r}::DOUBLE AS a, (slot % {mixing.STRIDE} + 1) * {mixing.GOLDEN!r}::DOUBLE AS c FROM i),
+        z AS (SELECT slot, (a - floor(a)) + (c - floor(c)) AS x FROM y),
+        k AS (SELECT slot, floor((x - floor(x)) * (SELECT max(n) FROM v)) AS x FROM z),
+        m AS (SELECT k.slot, v.src, v.blocks, row_number() OVER (PARTITION BY v.src ORDER BY k.slot) - 1 AS rank FROM k JOIN v ON k.x >= v.hi - v.slots AND k.x < v.hi),
+        e AS (SELECT src, least(count(*), max(blocks) * {mixing.MOST_REPEATS}) AS got FROM m GROUP BY src),
+        p AS (SELECT d.doc_id, d.size, t.src, t.w, t.target, t.blocks, coalesce(e.got, 0) AS got,
+                     (sum(d.size) OVER (PARTITION BY t.src ORDER BY k, d.doc_id) - d.size)::BIGINT AS a
+              FROM d JOIN u t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON e.src = t.src)
+        SELECT p.doc_id, p.size, p.w AS source_size, p.target, p.src::BIGINT AS src, m.slot AS first_slot,
+               (CASE WHEN p.w = 0 THEN 0 ELSE (got // p.blocks) * size + greatest(0, least(size, (got % p.blocks) * {mixing.BLOCK_TOKENS} - a)) END)::BIGINT AS taken
+        FROM p LEFT JOIN m ON p.size > 0 AND m.src = p.src AND m.rank = p.a // {mixing.BLOCK_TOKENS} AND m.rank < p.got
     """,
     "op7_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
