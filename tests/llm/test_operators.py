@@ -596,8 +596,46 @@ def test_wrappers_with_aside_words_keep_the_article(page):
     assert "no article at all" not in text and "teaser" not in text
 
 
+LONGER = STORY + "<p>" + "A third paragraph brings the story to its end at last. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted", "unwanted"),
+    [
+        (f'<div class="layout has-sidebar"><article>{STORY}</article></div>', ("title of the story", "second one"), ()),
+        (f'<main><div class="widget-text">{STORY}</div></main>', ("title of the story", "second one"), ()),
+        (f'<form id="aspnetForm"><div id="content">{STORY}</div><div class="footer">Imprint and contact</div></form>', ("title of the story", "second one"), ("Imprint",)),
+        (f'<article>{STORY}<section class="search-rescue"><p>{"The search and rescue team went out. " * 5}</p></section></article>', ("title of the story", "rescue team"), ()),
+        (f'<div id="text">{LONGER}</div><article><h3><a href="/o">Another story</a></h3><p>A teaser of another page that is not this one.</p></article>', ("title of the story", "third paragraph"), ("teaser",)),
+        (f'<div id="content">{LONGER}</div><article><h3><a href="/o">Another story</a></h3><p>A teaser of another page that is not this one.</p></article>', ("title of the story", "third paragraph"), ("teaser",)),
+        (f'<ul><li><a href="/">Home</a><li><a href="/n">News</a></ul>{LONGER}<ul><li><a href="/a">An older story of ours</a><li><a href="/b">One more</a></ul>', ("first paragraph", "third paragraph"), ("Home", "older story", "One more")),
+        (f'<div class="cookie-banner"><p>We use cookies to make this site better for you and for us.</p></div><div class="entry-content">{STORY}</div><div class="related-items"><p>{"Other things to read. " * 6}</p></div>', ("first paragraph",), ("cookies", "Other things")),
+        (f'<form action="/s"><p>Sign up for our letter and get one each week</p></form><article>{STORY}</article>', ("first paragraph",), ("Sign up",)),
+    ],
+)
+def test_page_layouts(page, wanted, unwanted):
+    text = html_text.main_text(f"<html><body>{page}</body></html>", html_text.grown_tree())[0]
+    assert all(w in text for w in wanted) and not any(w in text for w in unwanted)
+
+
+def _split_on(tree):
+    return {html_text.FEATURES[tree.feature]} | _split_on(tree.low) | _split_on(tree.high) if tree.feature is not None else set()
+
+
+def test_tree_splits_on_words_and_links_of_neighbours():
+    used = _split_on(html_text.grown_tree())
+    assert {"words", "link_density", "article", "article_elsewhere"} <= used and used & {"words_before", "words_behind"} and used & {"link_density_before", "link_density_behind"}
+
+
+def test_html_of_long_pages_and_clashing_columns(spark):
+    page = "<nav><a href='/'>Home</a></nav><article><p>One of very many paragraphs here.</p>" + ("<p>" + "word " * 40 + "</p>") * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", page, "x", 5), (1, "u", page, "y", 6)], "page_id long, url string, html string, text string, n_blocks int")
+    rows = html_text.extract(pages).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0]["n_kept"] == 20_001 and rows[0]["text"].startswith("One of very many")
+
+
 def test_tree_learns_its_table():
-    rows = np.array(html_text.LABELLED, float)
+    rows = html_text.labelled_table()
     assert (html_text.grown_tree().predict(rows[:, :-1]) == (rows[:, -1] > 0)).all()
 
 
