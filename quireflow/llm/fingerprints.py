@@ -67,6 +67,18 @@ def as_string(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
+def _slice(cuts: list[int]) -> Column:
+    """How many cuts are below doc_id: first by groups of cuts, then within the group, so a row meets some 2 * sqrt(cuts) of them."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = F.array(*[F.array(*map(F.lit, cuts[k : k + step])) for k in range(0, len(cuts), step)])
+    below = lambda splits: F.size(F.filter(splits, lambda s: s < F.col("doc_id")))
+    last = below(F.array(*[F.lit(cuts[min(k + step, len(cuts)) - 1]) for k in range(0, len(cuts), step)]))
+    inside = F.coalesce(F.get(groups, last), F.array().cast("array<bigint>"))
+    return F.when(last * step >= len(cuts), len(cuts)).otherwise(last * step + below(inside))
+
+
 def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, fp, fp_at, next_text, next_fp: each row beside the next by descending id (after the last: the first).
 
@@ -77,8 +89,7 @@ def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     n = max(1, min(MOST_SLICES, -(-docs.count() // SLICE_ROWS)))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n + 1000)).first()[0] if n > 1 else None
-    splits = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    slice_ = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(splits, lambda s: s < F.col("doc_id"))))
+    slice_ = F.when(F.col("doc_id").isNull(), -1).otherwise(_slice(sorted(set(cuts or []))))
     rows = rows.withColumn("slice", slice_)
     heads = sorted(rows.groupBy("slice").agg(F.max("doc_id").alias("doc_id")).collect(), reverse=True, key=lambda r: r[0])
 

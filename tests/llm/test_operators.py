@@ -482,6 +482,39 @@ def test_fingerprints(spark):
     assert np.mean([r["near_edited"] for r in found if r["n_chars"] > 100]) > 0.35
 
 
+def test_slices_are_counted_in_two_steps(spark):
+    ids = [(k,) for k in (-5, 0, 1, 2, 3, 9, 10, 11, 55, 98, 99, 100, 1000)]
+    docs = spark.createDataFrame(ids, "doc_id long")
+    for cuts in ([], [7], list(range(0, 100, 3)), list(range(1, 101)), [5, 50]):
+        found = docs.select("doc_id", fingerprints._slice(cuts).alias("s")).collect()
+        assert [r["s"] for r in found] == [sum(c < i for c in cuts) for (i,) in ids]
+
+
+def brute_fingerprint(text):
+    """Chosen gram hashes and their likeness, from the tokens on."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]{1,4}[\x20\x09-\x0D]*|[\x20\x09-\x0D]+", text)
+    grams = [tuple(tokens[k : k + 4]) for k in range(max(1, len(tokens) - 3))] if tokens else []
+    return tokens, grams
+
+
+def test_fingerprints_are_those_of_brute_force(spark):
+    rnd = random.Random(21)
+    words = ["stone", "a", "of", "bridges", "über", "x1", "mill"]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))), "a") for k in range(80)]
+    df = fingerprints.with_fingerprint(frame(spark, rows), "text", "fp").collect()
+    grams = {g for _, t, _ in rows for g in brute_fingerprint(t)[1]}
+    schema = ", ".join(f"t{k} string" for k in range(4))
+    hashed = spark.createDataFrame([tuple(list(g) + [None] * (4 - len(g))) for g in grams], schema)
+    of = {tuple(x for x in r[:4] if x is not None): r[4] for r in hashed.select("*", F.hash("t0", "t1", "t2", "t3")).collect()}
+    singles = spark.createDataFrame([(w,) for w in {x for _, t, _ in rows for x in brute_fingerprint(t)[0]}], "t string")
+    single = {r[0]: r[1] for r in singles.select("t", F.hash("t")).collect()}
+    for r in df:
+        tokens, g = brute_fingerprint(r["text"])
+        h = [of[x] for x in g]
+        at = brute_winnow(h, fingerprints.WINDOW)
+        assert r["fp_at"] == at and r["fp"] == [h[k] for k in at] + ([single[t] for t in tokens] if len(tokens) < fingerprints.SHORT else [])
+
+
 def brute_winnow(h, w):
     n, out = len(h), set()
     for k in range(max(1, n - w + 1) if n else 0):
