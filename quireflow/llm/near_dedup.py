@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, in_batches, shielded, text_or_empty
+from .common import cut, held, in_batches, release, shielded, text_or_empty
 from .graph import components
 from .textkit import batches, encode, mix, shingles
 
@@ -196,16 +196,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     many = cut(same.filter("copies > 1").drop("copies"))
     of_copy = cut(usable.join(many, ["set_a", "set_b", "n_shingles"]).filter("id <> doc_id").select("id", "doc_id", "set_a", "set_b", "n_shingles"))
     copies = of_copy.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    # an id that comes again with another text stays with that
-    ids = usable.join(of_copy.drop("id").distinct(), ["doc_id", "set_a", "set_b", "n_shingles"], "left_anti")
-    ids = ids.dropDuplicates(["doc_id", "set_a", "set_b"]).withColumnRenamed("doc_id", "id")
-    sketch = cut(ids.select("id", "n_shingles", *SKETCH))
+    # an id that comes again with another text stays with that; sets are chosen by their numbers, then sketches are fetched once
+    names = ["doc_id", "set_a", "set_b", "n_shingles"]
+    chosen = usable.select("row", *names).join(of_copy.drop("id").distinct(), names, "left_anti")
+    chosen = chosen.groupBy("doc_id", "set_a", "set_b").agg(F.min("row").alias("row")).select("row")
+    ids = cut(usable.join(chosen, "row", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "symbols", *SKETCH))
+    sketch = ids.drop("symbols")
+    release(docs.sparkSession)
     texts = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
 
     # first the centres of all keys
     keys = index_keys(ids)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(keys.join(shared, "key"))
+    release(docs.sparkSession)
     degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     centres = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("late"))).alias("c"))
     met = cut(shared.drop("n").join(centres.select("key", (-F.col("c.late")).alias("centre")), "key"))
@@ -213,6 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     star = star.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
     star = cut(star.filter(_close("x", "y")).select("a", "b"))
     links = cut(_confirmed(star, texts, shingle))
+    release(docs.sparkSession)
     found = components(links)
 
     # then, in keys that still hold several components, whoever is not in the centre's
@@ -227,6 +232,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _close("x", "y"))
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = cut(more.join(star, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
     if not more.isEmpty():
         late = cut(_confirmed(more, texts, shingle))
         if not late.isEmpty():
