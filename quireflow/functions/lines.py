@@ -35,8 +35,9 @@ def ends_with_delimiter(text: Column) -> Column:
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with a struct column `f` of each line's features and `line_type`. Lines without a token have none."""
     count = lambda pred: F.size(F.filter("_w", pred)).cast("long")
-    df = df.withColumn("_text", F.trim(text)).withColumn("_t", W.tokens(F.col("_text"))).filter(F.size("_t") > 0)
+    df = df.withColumn("_text", F.trim(text)).filter("_text <> ''").withColumn("_t", W.tokens(F.col("_text")))
     df = df.withColumn("_w", F.transform("_t", W.cleaned))
+    df = df.withColumn("_num", W.numeric_parts(F.col("_w"))).withColumn("_n", F.transform("_num", lambda n, i: n.isNotNull() & ~W.is_year_part(n, F.get("_w", i))))
     df = df.withColumn("_first", F.element_at("_t", 1)).withColumn("_last", F.element_at("_t", -1)).withColumn("_lastw", F.element_at("_w", -1))
     colon = F.filter(F.transform("_t", lambda t, i: F.when(t.contains(":"), i)), lambda i: i.isNotNull())
     stops = F.transform("_w", lambda w, i: W.is_stop_word(w) & (F.coalesce(F.get("_colon", F.lit(0)), F.lit(1 << 30)) > i))
@@ -47,7 +48,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
             "n_title": count(W.is_title),
             "n_alpha": count(lambda w: w.rlike(K.ALPHA)),
             "n_stop": F.size(F.filter(stops, lambda b: b)).cast("long"),
-            "n_number": count(W.is_number),
+            "n_number": F.size(F.filter("_n", lambda n: n)).cast("long"),
             "n_dollar": count(W.is_dollar),
             "n_percent": count(W.is_percent),
             "n_date": count(W.is_date),
@@ -55,7 +56,7 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
             "kind": numbered_kind(F.element_at("_w", 1)),
             "period": F.col("_text").endswith(".") & ~F.col("_last").isin(*K.HONORIFICS),
             "delimiter": ends_with_delimiter(F.col("_text")),
-            "last_number": W.is_number(F.col("_lastw")) | W.is_dollar(F.col("_lastw")) | W.is_percent(F.col("_lastw")),
+            "last_number": F.element_at("_n", -1) | W.is_dollar(F.col("_lastw")) | W.is_percent(F.col("_lastw")),
             "last_date": W.is_date(F.col("_lastw")),
             "last_stop": W.is_stop_word(F.col("_lastw")) & (F.length("_lastw") > 1) & ~W.is_upper(F.col("_lastw")),
             "bullet": F.substring("_text", 1, 1).isin(*K.BULLETS),
@@ -122,4 +123,4 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
         | F.lower("_text").rlike(r"^(?:whereas|now,? therefore)\b")
     )
     df = df.withColumn("line_type", kind).withColumn("prose", prose)
-    return df.drop("_t", "_w", "_first", "_last", "_lastw", "_colon", "_text")
+    return df.drop("_t", "_w", "_num", "_n", "_first", "_last", "_lastw", "_colon", "_text")

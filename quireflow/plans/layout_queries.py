@@ -93,7 +93,7 @@ def _wrapped(lines):
 
 def _two_columns(spark, d):
     """All words of the documents, laid out in two columns of 60 letters; word_no counts through a line's rows."""
-    words = lift.words_of_lines(_wrapped(_lines(spark, d)), keys=("doc_id", "line_no", "row_no"))
+    words = lift.words_of_lines(_wrapped(_lines(spark, d)))
     words = words.withColumn("word_no", F.col("word_no") + F.col("n_before")).drop("n_before")
     left = F.when(F.col("col_no") == 0, _COLUMN[0]).otherwise(_COLUMN[1])
     squeezed = lambda x: left + (F.col(x) - lift.LEFT) * 4 / 6

@@ -2,6 +2,9 @@
 
 A line of text has a page and a top by its number; words get their x range in proportion to their letters, six points
 each. Statements are documents of their own, one an order, with a title, headings, clauses, table rows and furniture.
+
+Arrays that are never empty are exploded by the outer forms: before others Spark tests the array's size in a filter of
+its own, and so works the whole array out twice.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """doc_id, line_no, page_idx, top, text: the lines of each document that are not blank, trimmed."""
-    lines = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    lines = documents.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
     lines = lines.withColumn("text", F.trim("text")).filter("text <> ''")
     return lines.select(
         "doc_id",
@@ -34,15 +37,30 @@ def document_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def words_of_lines(lines: DataFrame, left: Column | None = None, keys=("doc_id", "line_no")) -> DataFrame:
-    """Each line's words with word_no and x0, x1, laid out in proportion to their letters from the line's left."""
+#: Words of a line that are laid out together.
+STRETCH = 16
+
+
+def words_of_lines(lines: DataFrame, left: Column | None = None) -> DataFrame:
+    """Each line's words with word_no and x0, x1, laid out in proportion to their letters from the line's left.
+
+    A line comes apart into stretches of words with their offsets, a stretch into words; nothing is shuffled, and a
+    word's offset is looked up in its stretch alone.
+    """
     others = [c for c in lines.columns if c != "text"]
-    words = lines.withColumn("_left", left if left is not None else F.lit(float(LEFT)))
-    words = words.select(*others, "_left", F.posexplode(F.filter(F.split("text", " +"), lambda w: w != "")).alias("word_no", "word"))
-    w = Window.partitionBy(*keys).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0))
-    words = words.withColumn("x0", F.col("_left") + LETTER * before).withColumn("x1", F.col("x0") + LETTER * F.length("word"))
-    return words.withColumn("word_no", F.col("word_no").cast("long")).drop("_left")
+    single = F.when(F.col("text").contains("  "), F.regexp_replace("text", "  +", " ")).otherwise(F.col("text"))
+    rows = lines.withColumn("_left", left if left is not None else F.lit(float(LEFT))).withColumn("_text", F.trim(single)).filter("_text <> ''")
+    rows = rows.withColumn("_w", F.split("_text", " ")).withColumn("_k", F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / STRETCH).cast("int")))
+    stretches = F.transform("_k", lambda k: F.array_join(F.slice("_w", k * STRETCH + 1, STRETCH), " "))
+    rows = rows.withColumn("_s", F.when(F.size("_k") == 1, F.array("_text")).otherwise(stretches))
+    starts = F.aggregate("_s", F.array(F.lit(0)), lambda ns, s: F.array_append(ns, F.element_at(ns, -1) + F.length(s) + 1))
+    rows = rows.withColumn("_n", F.when(F.size("_k") == 1, F.array(F.lit(0))).otherwise(starts))
+    rows = rows.select(*others, "_left", F.posexplode_outer("_s").alias("_no", "_s"), "_n").withColumn("_n", F.get("_n", F.col("_no")))
+    words = rows.select(*others, "_left", "_no", "_s", "_n", F.posexplode_outer(F.split("_s", " ")).alias("_at", "word"))
+    before = F.col("_n") + F.when(F.col("_at") == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("_s"), F.lit(" "), F.col("_at"))) + 1)
+    words = words.select(*others, "_left", (F.col("_no") * STRETCH + F.col("_at")).cast("long").alias("word_no"), "word", before.alias("_n"))
+    words = words.withColumn("x0", F.col("_left") + LETTER * F.col("_n")).withColumn("x1", F.col("x0") + LETTER * F.length("word"))
+    return words.drop("_left", "_n")
 
 
 def conversation_blocks(conversations: DataFrame) -> DataFrame:
@@ -61,7 +79,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     h = F.regexp_replace(h, r"(?i)<(h1|p|li|footer|div)\b[^>]*>", "\x01$1\x02")
     h = F.regexp_replace(h, r"(?i)</(?:h1|p|li|footer|div|article|nav|ul|body|html)>", "\x01")
     h = F.regexp_replace(h, "<[^>]*>", " ")
-    blocks = pages.select("page_id", F.posexplode(F.split(h, "\x01")).alias("_n", "_b")).filter(F.col("_b").contains("\x02"))
+    blocks = pages.select("page_id", F.posexplode_outer(F.split(h, "\x01")).alias("_n", "_b")).filter(F.col("_b").contains("\x02"))
     text = F.element_at(F.split("_b", "\x02"), 2)
     for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
@@ -91,7 +109,7 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line(98, "folio", FOLIO_TOP, lit(290), 8, 400, F.concat(lit("Page "), (F.col("o_orderkey") % 7 + 1).cast("string"))),
         line(99, "footer", FOOTER_TOP, lit(200), 8, 400, lit("All amounts are stated in dollars.")),
     )
-    heads = heads.select(F.col("o_orderkey").alias("doc_id"), F.explode(fixed).alias("l")).select("doc_id", "l.*", none.alias("cells"))
+    heads = heads.select(F.col("o_orderkey").alias("doc_id"), F.explode_outer(fixed).alias("l")).select("doc_id", "l.*", none.alias("cells"))
     rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = rows.withColumn("n", F.row_number().over(w))
@@ -122,7 +140,7 @@ def statement_words(lines: DataFrame) -> DataFrame:
     lefts = F.array(*[F.lit(float(x)) for x in CELL_LEFTS])
     whole = F.array(F.struct(F.lit(0).alias("cell_no"), F.col("text").alias("text"), F.col("left").alias("left")))
     cells = F.transform("cells", lambda c, i: F.struct(i.alias("cell_no"), c.alias("text"), F.get(lefts, i).alias("left")))
-    parts = lines.select("doc_id", "line_no", "kind", "top", "size", "weight", F.explode(F.when(F.size("cells") > 0, cells).otherwise(whole)).alias("c"))
+    parts = lines.select("doc_id", "line_no", "kind", "top", "size", "weight", F.explode_outer(F.when(F.size("cells") > 0, cells).otherwise(whole)).alias("c"))
     parts = parts.select("doc_id", "line_no", "kind", "top", "size", "weight", F.col("c.cell_no").cast("long").alias("cell_no"), F.col("c.text").alias("text"), F.col("c.left").alias("left"))
-    words = words_of_lines(parts, F.col("left"), ("doc_id", "line_no", "cell_no"))
+    words = words_of_lines(parts, F.col("left"))
     return words.withColumn("bottom", F.col("top") + F.col("size")).drop("left")
