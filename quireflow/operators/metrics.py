@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,43 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2 * tp, 2 * tp + fp + fn)
 
 
+def with_commonness(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """words (id, w) with n_rows: in how many rows of counted (w) a word is; none gives 0."""
+    return words.join(counted.groupBy("w").agg(F.count(F.lit(1)).alias("n_rows")), "w", "left").fillna(0, ["n_rows"])
+
+
+def holding_all(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """item_id, doc_id where the words ws of a text hold all words ws of an item (item_id, ws; doc_id, ws; both sets).
+
+    Only the texts that hold the item's rarest word are looked at, so common words join nothing.
+    """
+    item_words, text_words = items.select("item_id", F.explode("ws").alias("w")), texts.select("doc_id", F.explode("ws").alias("w"))
+    counted = text_words.join(item_words.select("w").distinct(), "w", "left_semi")
+    rarest = with_commonness(item_words, counted).groupBy("item_id").agg(F.min(F.struct("n_rows", "w")).alias("r"))
+    met = rarest.filter("r.n_rows > 0").select("item_id", F.col("r.w").alias("w")).join(text_words, "w").select("item_id", "doc_id")
+    both = met.join(items.select("item_id", F.col("ws").alias("wanted")), "item_id").join(texts, "doc_id")
+    return both.filter(F.size(F.array_except("wanted", "ws")) == 0).select("item_id", "doc_id")
+
+
+def similar_sets(items: DataFrame, share: Fraction) -> DataFrame:
+    """a, b, shared, n, m of all pairs of items (item_id, ws; sets) with shared >= share * union, a < b.
+
+    With words from rare to common, two such sets share one of the first n - ceil(share * n) + 1 words of either; the
+    sizes differ by the share at most. So the commonest words of a set join nothing.
+    """
+    p, q = share.numerator, share.denominator
+    words = items.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    ranked = with_commonness(words, words).groupBy("item_id", "n").agg(F.array_sort(F.collect_list(F.struct("n_rows", "w"))).alias("ranked"))
+    first = ranked.select("item_id", "n", F.explode(F.slice("ranked", F.lit(1), F.expr(f"n - (n * {p} + {q - 1}) DIV {q} + 1").cast("int"))["w"]).alias("w"))
+    x, y = first.alias("x"), first.alias("y")
+    sizes = (F.col("x.n") * q >= F.col("y.n") * p) & (F.col("y.n") * q >= F.col("x.n") * p)
+    met = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.item_id") < F.col("y.item_id")) & sizes)
+    met = met.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).distinct()
+    sides = met.join(items.select(F.col("item_id").alias("a"), F.col("ws").alias("_x")), "a").join(items.select(F.col("item_id").alias("b"), F.col("ws").alias("_y")), "b")
+    pairs = sides.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("shared"), F.size("_x").alias("n"), F.size("_y").alias("m"))
+    return pairs.filter(F.col("shared") * q >= (F.col("n") + F.col("m") - F.col("shared")) * p)
+
+
 def window_scores(masks: DataFrame, by: str, order: str) -> DataFrame:
     """by, k, pk, windowdiff of boundary flags ref and hyp, over windows of k rows.
 

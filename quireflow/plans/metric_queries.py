@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -122,14 +124,10 @@ def overlap_assign(spark, d):
     p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS i, any_value(len(a.ws)) AS n, any_value(len(b.ws)) AS m FROM k a JOIN k b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL)
     SELECT a, b, round(i / (n + m - i), 6) AS jaccard FROM p WHERE i / (n + m - i) >= 0.2""")
 def jaccard_pairs(spark, d):
-    """Benchmark items that share a fifth of their words and more; pairs come from shared words."""
+    """Benchmark items that share a fifth of their words and more."""
     items = lift.read(spark, d, "benchmark").select("item_id", F.array_distinct(M.tokens(F.col("text"))).alias("ws"))
-    k = items.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    x, y = k.alias("x"), k.alias("y")
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.item_id") < F.col("y.item_id")))
-    pairs = pairs.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count(F.lit(1)).alias("i"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-    j = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return pairs.filter(j >= 0.2).select("a", "b", F.round(j, 6).alias("jaccard"))
+    pairs = M.similar_sets(items, Fraction(1, 5))
+    return pairs.select("a", "b", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"))
 
 
 @query(f"""WITH {_BLOCKS}, o AS (SELECT doc_id, block_idx, row_number() OVER (PARTITION BY doc_id ORDER BY t DESC, l, block_idx) AS g FROM blocks), n AS (SELECT *, lead(g) OVER (PARTITION BY doc_id ORDER BY block_idx) AS ng FROM o)
@@ -224,8 +222,5 @@ def diagnostics(spark, d):
     SELECT item_id, doc_id, round(i / n, 6) AS recall FROM m JOIN n USING (item_id) WHERE i = n""")
 def benchmark_recall(spark, d):
     """Documents that hold every word of a benchmark item."""
-    words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(M.tokens(F.coalesce(text, F.lit(""))))).alias("w"))
-    b, docs = words(lift.read(spark, d, "benchmark"), "item_id", "text"), words(lift.read(spark, d, "documents"), "doc_id", "text")
-    n = b.groupBy("item_id").agg(_n())
-    m = b.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("i"))
-    return m.join(n, "item_id").filter("i = n").select("item_id", "doc_id", F.round(F.col("i") / F.col("n"), 6).alias("recall"))
+    words = lambda table, key: lift.read(spark, d, table).select(key, F.array_distinct(M.tokens(F.coalesce("text", F.lit("")))).alias("ws"))
+    return M.holding_all(words("benchmark", "item_id"), words("documents", "doc_id")).select("item_id", "doc_id", F.lit(1.0).alias("recall"))
