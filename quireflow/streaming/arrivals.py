@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,11 @@ from quireflow.sources import lift
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own that driver and executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quireflow-")
+    """A folder of its own that driver and executors share; only a session within one process may leave it unnamed."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="quireflow-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
