@@ -81,11 +81,11 @@ def header_styles(spark, d):
 
 
 @query(f"""WITH {S.STATEMENTS}, s AS (SELECT size, weight, count(*)::BIGINT AS n FROM statement GROUP BY ALL), m AS (SELECT avg(n) AS a, stddev_pop(n) AS d FROM s)
-    SELECT size, weight::INT AS weight, n, n > a + d AS is_para FROM s, m""")
+    SELECT size, weight::INT AS weight, n, n > a + 2 * d AS is_para FROM s, m""")
 def para_classes(spark, d):
     styles = lift.statement_lines(spark, d).groupBy("size", "weight").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy(F.lit(0))  # a row for each style
-    return styles.withColumn("is_para", F.col("n") > F.avg("n").over(every) + F.stddev_pop("n").over(every))
+    return styles.withColumn("is_para", F.col("n") > F.avg("n").over(every) + 2 * F.stddev_pop("n").over(every))
 
 
 @query(f"""WITH {_BLOCKS}, m AS (SELECT doc_id, block_idx, string_agg(repeat(CASE WHEN weight > 400 THEN '1' ELSE '0' END, len(string_split(text, ' '))), '' ORDER BY line_no) AS bold_mask FROM bl GROUP BY ALL)
@@ -278,9 +278,9 @@ def subtree_root(spark, d):
     return H.with_depth_and_root(_nodes(spark, d)).select("doc_id", "id", "root")
 
 
-@query(f"""WITH {S.STATEMENTS}, f AS (SELECT *, kind = 'row' AS item FROM statement), g AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, item ORDER BY line_no) AS run FROM f),
-    h AS (SELECT doc_id, run, min(line_no) AS first FROM g WHERE item GROUP BY ALL)
-    SELECT g.doc_id, g.line_no, p.line_no AS intro FROM g JOIN h ON g.doc_id = h.doc_id AND g.run = h.run AND g.item JOIN statement p ON p.doc_id = g.doc_id AND p.line_no = h.first - 1 AND p.text LIKE '%:'""")
+@query(f"""WITH {S.STATEMENTS}, f AS (SELECT doc_id, line_no, kind = 'row' AS item, text FROM statement),
+    g AS (SELECT doc_id, line_no, item, last_value(CASE WHEN item THEN NULL WHEN text LIKE '%:' THEN line_no ELSE -1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS intro FROM f)
+    SELECT doc_id, line_no, intro FROM g WHERE item AND intro >= 0""")
 def list_intro_parent(spark, d):
     """Items in a row behind a line that ends with a colon are its children."""
     lines = lift.statement_lines(spark, d).withColumn("item", F.col("kind") == "row")
