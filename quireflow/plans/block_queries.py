@@ -251,7 +251,7 @@ _NODES = f"""{S.STATEMENTS}, lv AS (SELECT doc_id, line_no, {_LEVEL_SQL} AS leve
 def _nodes(spark, d):
     level = F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv])[F.col("kind")]
     lines = lift.statement_lines(spark, d).select("doc_id", "line_no", level.alias("level"))
-    return H.with_parents(lines).select("doc_id", F.col("line_no").alias("id"), "parent")
+    return H.with_parents(lines, max(_LEVELS.values()) + 1).select("doc_id", F.col("line_no").alias("id"), "parent")
 
 
 @query(f"WITH {_BLOCKS}, s AS (SELECT DISTINCT doc_id, size FROM blocks WHERE block_type = 'header') SELECT doc_id, size, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC))::INT AS level FROM s")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +9,12 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import lines as L
 from quireflow.sources import lift
+from quireflow.sources.shared import shared_dir
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own that driver and executors share; only a session within one process may leave it unnamed."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="quireflow-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

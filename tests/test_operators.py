@@ -49,7 +49,21 @@ def test_tree_walk_ends_at_a_cycle_and_a_missing_parent(spark):
     rows = [(1, 0, None), (1, 1, 0), (1, 2, 1), (1, 5, 9), (1, 7, 8), (1, 8, 7)]
     nodes = spark.createDataFrame(rows, "doc_id long, id long, parent long")
     found = {r["id"]: (r["depth"], r["root"]) for r in hierarchy.with_depth_and_root(nodes).collect()}
-    assert found[2] == (2, 0) and found[5] == (0, 5) and found[7][0] == hierarchy.DEEPEST
+    assert found[2] == (2, 0) and found[5] == (0, 5) and found[7] == found[8] == (None, None)
+
+
+def test_trees_of_any_depth_and_rows_behind_a_cycle(spark):
+    rows = [(1, k, k - 1 if k else None) for k in range(41)] + [(2, 0, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 4, 4)]
+    nodes = spark.createDataFrame(rows, "doc_id long, id long, parent long")
+    found = {(r["doc_id"], r["id"]): (r["depth"], r["root"]) for r in hierarchy.with_depth_and_root(nodes).collect()}
+    assert [found[1, k] for k in range(41)] == [(k, 0) for k in range(41)]
+    assert {v for k, v in found.items() if k[0] != 1} == {(None, None)}
+
+
+def test_parents_at_many_levels(spark):
+    rows = [(1, k, k) for k in range(9)] + [(1, 9, 3), (1, 10, 12)]
+    found = hierarchy.with_parents(spark.createDataFrame(rows, "doc_id long, line_no long, level int")).orderBy("line_no").collect()
+    assert [r["parent"] for r in found] == [None, *range(8), 2, 9]
 
 
 def test_segmentation_scores(spark):
