@@ -22,19 +22,33 @@ def letters_only(text: Column) -> Column:
 
 
 def repeated_edges(lines: DataFrame, height: float) -> DataFrame:
-    """doc_id, zone, text_key, n_pages: lines in the head or foot zone that come back on most pages of their document.
+    """doc_id, zone, text_key, top, left, n_pages: places in the head or foot zone whose text comes back on other pages.
 
-    Lines are one by their letters and by position within NEAR points; they must be on several pages, on more than half
-    of all, with two pages' distance at most on average.
+    Lines are one where their letters are the same and their places less than NEAR points apart in both directions;
+    neighbours meet by cells of that size. Their pages must follow each other (two apart at most on average, or three
+    quarters of the steps) and be more than half of all, or more than a fifth or five where they reach past the third
+    page; a line without letters needs no share.
     """
     zone = F.when(F.col("top") < HEADER_ZONE * height, "header").when(F.col("top") > FOOTER_ZONE * height, "footer")
     keyed = lines.withColumn("zone", zone).filter("zone IS NOT NULL").withColumn("text_key", letters_only(F.col("text")))
-    keyed = keyed.withColumn("cell", F.floor(F.col("top") / NEAR))
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("n_all"))
-    found = keyed.groupBy("doc_id", "zone", "text_key", "cell").agg(F.countDistinct("page_idx").alias("n_pages"), F.min("page_idx").alias("lo"), F.max("page_idx").alias("hi"))
-    found = found.join(pages, "doc_id")
-    near = (F.col("hi") - F.col("lo")) / (F.col("n_pages") - 1) <= 2
-    return found.filter((F.col("n_pages") > 1) & near & (F.col("n_pages") > 0.5 * F.col("n_all"))).select("doc_id", "zone", "text_key", "n_pages")
+    places = keyed.groupBy("doc_id", "zone", "text_key", "top", "left").agg(F.collect_set("page_idx").alias("pages"))
+    cell = lambda c: F.floor(F.col(c) / NEAR)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    a = places.select("doc_id", "zone", "text_key", "top", "left", around("top").alias("cy")).withColumn("cx", around("left"))
+    b = places.select("doc_id", "zone", "text_key", cell("top").alias("cy"), cell("left").alias("cx"), F.col("top").alias("y"), F.col("left").alias("x"), "pages")
+    near = (F.abs(F.col("top") - F.col("y")) < NEAR) & (F.abs(F.col("left") - F.col("x")) < NEAR)
+    met = a.join(b, ["doc_id", "zone", "text_key", "cy", "cx"]).filter(near)
+    met = met.groupBy("doc_id", "zone", "text_key", "top", "left").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+    n = F.size("pages")
+    steps = F.array_sort(F.transform(F.slice("pages", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda p, i: p - F.get("pages", i)))
+    all_pages = lines.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("n_all"))
+    found = met.filter(n > 1).withColumn("n_pages", n.cast("long")).withColumn("steps", steps).join(all_pages, "doc_id")
+    at = (F.col("n_pages") - 2) * 0.75
+    lower, upper = (F.get("steps", f(at).cast("int")) for f in (F.floor, F.ceil))
+    follow = ((F.element_at("pages", -1) - F.get("pages", F.lit(0))) / (F.col("n_pages") - 1) <= 2) | (lower + (at - F.floor(at)) * (upper - lower) <= 2)
+    many = (F.col("n_pages") > 0.2 * F.col("n_all")) | (F.col("n_pages") > 5)
+    share = (F.col("n_pages") > 0.5 * F.col("n_all")) | (F.col("text_key") == "") | (many & (F.element_at("pages", -1) > 2))
+    return found.filter(follow & share).select("doc_id", "zone", "text_key", "top", "left", "n_pages")
 
 
 def is_folio(text: Column) -> Column:

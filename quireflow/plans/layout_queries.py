@@ -178,9 +178,11 @@ _PAGED = f"""{S.STATEMENTS}, po AS (SELECT o_orderkey AS k, o_custkey AS doc, ro
 
 
 @query(f"""WITH {_PAGED}, z AS (SELECT *, CASE WHEN top < 0.18 * 792 THEN 'header' WHEN top > 0.9 * 792 THEN 'footer' END AS zone, regexp_replace(text, '[^a-zA-Z]+', '', 'g') AS text_key FROM paged),
-    f AS (SELECT doc_id, zone, text_key, floor(top / 20), count(DISTINCT page_idx)::BIGINT AS n_pages, min(page_idx) AS lo, max(page_idx) AS hi FROM z WHERE zone IS NOT NULL GROUP BY ALL),
-    a AS (SELECT doc_id, count(DISTINCT page_idx) AS n_all FROM paged GROUP BY ALL)
-    SELECT doc_id, zone, text_key, n_pages FROM f JOIN a USING (doc_id) WHERE n_pages > 1 AND (hi - lo) / (n_pages - 1) <= 2 AND n_pages > 0.5 * n_all""")
+    k AS (SELECT doc_id, zone, text_key, top, left_, list(DISTINCT page_idx) AS pages FROM z WHERE zone IS NOT NULL GROUP BY ALL),
+    m AS (SELECT a.doc_id, a.zone, a.text_key, a.top, a.left_, list_sort(list_distinct(flatten(list(b.pages)))) AS ps FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.zone = b.zone AND a.text_key = b.text_key AND abs(a.top - b.top) < 20 AND abs(a.left_ - b.left_) < 20 GROUP BY ALL),
+    d AS (SELECT *, len(ps)::BIGINT AS n_pages, list_transform(range(1, len(ps)), lambda i: ps[i + 1] - ps[i]) AS steps FROM m), a AS (SELECT doc_id, count(DISTINCT page_idx) AS n_all FROM paged GROUP BY ALL)
+    SELECT doc_id, zone, text_key, top, left_ AS "left", n_pages FROM d JOIN a USING (doc_id) WHERE n_pages > 1 AND (list_avg(steps) <= 2 OR list_aggregate(steps, 'quantile_cont', 0.75) <= 2)
+        AND (n_pages > 0.5 * n_all OR text_key = '' OR ((n_pages > 0.2 * n_all OR n_pages > 5) AND ps[-1] > 2))""")
 def repeated_header_footer(spark, d):
     return FL.repeated_edges(_paged(spark, d), lift.PAGE_HEIGHT)
 
