@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.operators import details as D
+from quireflow.operators import exports as E
 from quireflow.operators import strict
 from quireflow.sources import lift
 
 from . import sql as S
-from .block_queries import _BLOCKS, _blocks
+from .block_queries import _BLOCKS, _blocks, _nodes
 from .document_queries import _CUTS, _TOKENS, _points, _row_words
 from .layout_queries import _PAGED, _paged, _swords
 from .line_queries import _features, _lines, _statements
@@ -173,3 +174,48 @@ def page_text_compare(spark, d):
     b = R.joined(lines.filter("line_no % 7 <> 6"), "page", "line_no", "text", "\n", "b")
     both = a.join(b, "page", "left")
     return both.select("page.doc_id", "page.page_idx", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equal"), (F.length("a") - F.coalesce(F.length("b"), F.lit(0))).cast("long").alias("missing"))
+
+
+def _numbered_words(spark, d):
+    """doc_id, line_no, token_no, word and place of the statements' words, numbered through each document."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "cell_no", "word_no")) - 1
+    return _swords(spark, d).withColumn("token_no", number.cast("long"))
+
+
+@query(f"""WITH {S.STATEMENT_WORDS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, cell_no, word_no) - 1)::BIGINT AS token_no,
+    CASE WHEN line_no = 3 AND word_no < 2 AND doc_id % 2 = 1 THEN 1 ELSE line_no END AS block_idx FROM swords""")
+def runin_overflow_strict(spark, d):
+    """Words that the heading of a statement has taken: those of the next line go back there, those of another line do not."""
+    taken = ((F.col("line_no") == 2) & (F.col("word_no") < 3) & (F.col("doc_id") % 2 == 0)) | ((F.col("line_no") == 3) & (F.col("word_no") < 2) & (F.col("doc_id") % 2 == 1))
+    words = _numbered_words(spark, d).select("doc_id", "token_no", "word", F.when(taken, 1).otherwise(F.col("line_no")).alias("block_idx"))
+    lines = lift.statement_lines(spark, d).select("doc_id", F.col("line_no").alias("block_idx"), (F.col("kind") == "heading").alias("is_header"), "text")
+    return strict.runin_restored(words, lines)
+
+
+def _exports(spark, d):
+    """doc_id, json: each statement as an export whose annotations are its lines; six of seven break one rule."""
+    spoilt = lambda k, bad, good: F.when(F.col("doc_id") % 7 == k, bad).otherwise(good)
+    words = _numbered_words(spark, d)
+    token = F.struct(F.col("x0").alias("x"), F.col("top").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), F.col("size").alias("height"), F.col("word").alias("text"), F.when((F.col("doc_id") % 7 == 6) & (F.col("token_no") == 0), "png").alias("format"))
+    refs = F.sort_array(F.collect_list(F.struct(F.lit(0).alias("pageIndex"), F.col("token_no").alias("tokenIndex"))))
+    claims = spoilt(2, F.when(F.col("line_no") == 2, F.concat(refs, F.array(F.struct(F.lit(0).alias("pageIndex"), F.lit(0).cast("long").alias("tokenIndex"))))).otherwise(refs), refs)
+    held = words.groupBy("doc_id", "line_no").agg(F.collect_list(F.struct("token_no", token.alias("token"))).alias("tokens"), claims.alias("refs"))
+    lines = lift.statement_lines(spark, d).select("doc_id", "line_no", "kind", "left", "top", "size", "text").join(held, ["doc_id", "line_no"], "left")
+    lines = lines.join(_nodes(spark, d).withColumnRenamed("id", "line_no"), ["doc_id", "line_no"])
+    name = lambda c: F.concat(F.lit("line-"), c.cast("string"))
+    top = F.when(F.col("line_no") == 0, F.when(F.col("doc_id") % 7 == 3, "none").when(F.col("doc_id") % 7 == 5, name(F.lit(1))))
+    bounds = F.struct("left", "top", F.col("left").alias("right"), (F.col("top") + F.col("size")).alias("bottom"))
+    page = F.create_map(F.lit("0"), F.struct(bounds.alias("bounds"), F.coalesce("refs", F.array().cast("array<struct<pageIndex: int, tokenIndex: bigint>>")).alias("tokensJsons")))
+    note = F.struct(name(F.col("line_no")).alias("id"), F.col("kind").alias("annotationLabel"), F.lit("TOKEN_LABEL").alias("annotation_type"), F.lit(True).alias("structural"), F.coalesce(name(F.col("parent")), top).alias("parent_id"), page.alias("annotation_json"))
+    docs = lines.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("tokens")))["token"].alias("tokens"), F.collect_list(note).alias("notes"))
+    size = F.struct(spoilt(1, 9, 0).alias("index"), F.lit(lift.PAGE_WIDTH).alias("width"), F.lit(lift.PAGE_HEIGHT).alias("height"))
+    title = spoilt(4, F.lit(None), F.lit("statement"))
+    export = F.struct(title.alias("title"), F.lit("").alias("content"), F.lit("").alias("description"), F.lit(1).alias("page_count"), F.array(F.struct(size.alias("page"), "tokens")).alias("pawls_file_content"), F.col("notes").alias("labelled_text"))
+    return docs.select("doc_id", F.to_json(export).alias("json"))
+
+
+@query(f"""WITH {S.STATEMENTS} SELECT o_orderkey AS doc_id, ['page_index', 'token_twice', 'unknown_parent', 'title', '', 'image_field_of_text'][o_orderkey % 7] AS rule, 1::BIGINT AS n FROM orders WHERE o_orderkey % 7 NOT IN (0, 5)
+    UNION ALL SELECT doc_id, 'cycle', count(*) FROM statement WHERE doc_id % 7 = 5 GROUP BY doc_id""")
+def export_breaches(spark, d):
+    """Which rules of an export each document breaks, and how often."""
+    return E.broken_rules(_exports(spark, d))

@@ -66,6 +66,23 @@ def test_parents_at_many_levels(spark):
     assert [r["parent"] for r in found] == [None, *range(8), 2, 9]
 
 
+def test_words_behind_a_heading_go_to_the_next_block(spark):
+    blocks = [(0, True, "6.6 Taxes."), (1, False, "Each Party shall pay its taxes"), (2, True, "Term"), (3, False, "It ends"), (4, False, "soon")]
+    words = [("6.6", 0), ("Taxes.", 0), ("Each", 0), ("party", 0), ("shall", 1), ("pay", 1), ("its", 1), ("taxes", 1), ("Term", 2), ("x", 2), ("It", 3), ("ends", 3), ("soon", 3), ("y", None)]
+    known = spark.createDataFrame([(1, *b) for b in blocks], "doc_id long, block_idx long, is_header boolean, text string")
+    held = spark.createDataFrame([(1, k, *w) for k, w in enumerate(words)] + [(2, 0, "z", None)], "doc_id long, token_no long, word string, block_idx long")
+    found = strict.runin_restored(held, known).orderBy("doc_id", "token_no").collect()
+    assert [r["block_idx"] for r in found] == [0, 0, 1, 1, 1, 1, 1, 1, 2, 2, 3, 3, 3, None, None]
+
+
+def test_running_heads_are_one_within_twenty_points(spark):
+    rows = [(1, p, 39.0 if p % 2 else 41.0, 72.0, "Report %d" % p) for p in range(6)] + [(1, p, 100.0 + 30 * p, 72.0, "Moving") for p in range(1, 3)] + [(1, 0, 75.0, 300.0, "once"), (1, 5, 75.0, 319.0, "once")]
+    rows += [(2, p, 750.0, 300.0, str(p)) for p in (0, 1, 2)] + [(2, p, 400.0, 72.0, "body") for p in range(20)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_idx long, top double, left double, text string")
+    found = {(r["doc_id"], r["zone"], r["text_key"], r["top"], r["n_pages"]) for r in filters.repeated_edges(lines, 792.0).collect()}
+    assert found == {(1, "header", "Report", 39.0, 6), (1, "header", "Report", 41.0, 6), (2, "footer", "", 750.0, 3)}
+
+
 def test_segmentation_scores(spark):
     rows = [(1, k, r, r) for k, r in enumerate([0, 1, 0, 0, 1, 0, 0, 0])] + [(2, k, r, h) for k, (r, h) in enumerate(zip([0, 1, 0, 0], [0, 0, 1, 0], strict=True))]
     masks = spark.createDataFrame(rows, "doc_id long, i long, ref long, hyp long")
