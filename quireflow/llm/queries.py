@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .common import LOWER, UPPER, table
 
 
@@ -48,6 +48,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_warc_bundles,
         op10_suffix_dedup,
+        op13_bpe_coding,
     )
 }
 
