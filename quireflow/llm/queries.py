@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, quality, ranking, spelling, suffix_dedup, warc
 from .common import LOWER, UPPER, table
 
 
@@ -48,6 +48,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
 
@@ -65,10 +73,13 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_warc_bundles,
         op10_suffix_dedup,
+        op11_spelling_variants,
+        op12_ranked_search,
         op13_bpe_coding,
     )
 }
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
@@ -124,4 +135,31 @@ ORACLE_SQL = {
                  ((('0x' || substr(x, (i * 5 // 4 + 1)::BIGINT, 2))::INT >> (3 - i * 5 % 4)::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
                CASE WHEN page_id <> first THEN first END AS refers_to FROM d
     """,
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE r AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS named, count(*) AS n FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+        h AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(strlen(named)), lambda i: list_concat([('0x' || substr(hex(named), 2 * i + 1, 2))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+                 lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h FROM r),
+        o AS (SELECT n AS times, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        w AS (SELECT word, sum(times)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        v AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+        p AS (SELECT a.word AS a, b.word AS b, b.n FROM v a JOIN v b ON a.x = b.x AND a.i = b.i AND a.word <> b.word
+              UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.x UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.x),
+        c AS (SELECT *, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p),
+        f AS (SELECT w.word, w.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN c.n >= 10 * w.n THEN c.b END AS form, CASE WHEN c.n >= 10 * w.n THEN c.n END AS form_n FROM w LEFT JOIN c ON c.a = w.word AND c.k = 1),
+        t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM t JOIN f ON f.form = t.word)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
+    """,
+    "op12_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{_TERMS}')), '{UPPER}', '{LOWER}') AS term FROM documents),
+        z AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM z),
+        i AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{_TERMS}')), '{UPPER}', '{LOWER}') AS term FROM benchmark),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM c) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term),
+        m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM z, c),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {ranking.BEST}
+    """,
 }
