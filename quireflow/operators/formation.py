@@ -58,20 +58,33 @@ def gutter_histogram(words: DataFrame, width: float, keys=("doc_id", "page_idx")
     return covered.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gutter_runs(words: DataFrame, width: float, keys=("doc_id", "page_idx")) -> DataFrame:
-    """keys, left, right: runs of bins that at most 8 % of the rows cross, wide enough and away from the text's edges."""
-    keys = list(keys)
+def _page_gutters(words: DataFrame, width: float, keys: list) -> DataFrame:
+    """keys, gutters: the gutters of each page as (left, right), in order.
+
+    A page's bins are counted row by row; the bin -1, which every row covers, tells how many rows there are. What is
+    quiet lies between two loud bins that follow each other. Every step groups by the page at least, so words that are
+    dealt out by document stay where they are.
+    """
     size = width / BINS
-    pages = words.groupBy(*keys).agg(F.countDistinct("top").alias("rows"), F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    bins = pages.select(*keys, "rows", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))).alias("bin"))
-    full = bins.join(gutter_histogram(words, width, tuple(keys)), [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    quiet = full.filter(F.col("n") <= F.floor(QUIET * F.col("rows")))
-    w = Window.partitionBy(*keys).orderBy("bin")
-    runs = quiet.withColumn("run", F.col("bin") - F.row_number().over(w)).groupBy(*keys, "run").agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    runs = runs.withColumn("left", F.col("a") * size).withColumn("right", (F.col("b") + 1) * size)
+    to_bin = lambda x: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(x / size))).cast("int")
+    spans = F.collect_list(F.struct(to_bin(F.col("x0")).alias("a"), to_bin(F.col("x1")).alias("b")))
+    rows = words.groupBy(*keys, "top").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), spans.alias("spans"))
+    bins = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
+    counts = rows.select(*keys, "lo", "hi", F.explode(F.array_append(bins, F.lit(-1))).alias("bin"))
+    counts = counts.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pages = counts.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("bins"), F.max("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    loud = F.transform(F.filter("bins", lambda b: (b["bin"] >= 0) & (b["n"] > F.floor(QUIET * F.col("rows")))), lambda b: b["bin"])
+    pages = pages.withColumn("loud", F.concat(F.array(F.lit(-1)), F.array_sort(loud), F.array(F.lit(BINS))))
+    runs = F.zip_with(F.slice("loud", 1, F.size("loud") - 1), F.slice("loud", 2, F.size("loud") - 1), lambda a, b: F.struct(((a + 1) * size).alias("left"), (b * size).alias("right")))
     inner = MARGIN * (F.col("hi") - F.col("lo"))
-    wide = (F.col("right") - F.col("left") >= GUTTER * width) & (F.col("left") > F.col("lo") + inner) & (F.col("right") < F.col("hi") - inner)
-    return runs.filter(wide).select(*keys, F.round("left", 4).alias("left"), F.round("right", 4).alias("right"))
+    wide = lambda r: (r["right"] - r["left"] >= GUTTER * width) & (r["left"] > F.col("lo") + inner) & (r["right"] < F.col("hi") - inner)
+    return pages.select(*keys, F.filter(runs, wide).alias("gutters"))
+
+
+def gutter_runs(words: DataFrame, width: float, keys=("doc_id", "page_idx")) -> DataFrame:
+    """keys, left, right: runs of bins that at most 8 % of the rows cross, wide enough and away from the text's edges."""
+    found = _page_gutters(words, width, list(keys)).select(*keys, F.explode("gutters").alias("g"))
+    return found.select(*keys, F.round("g.left", 4).alias("left"), F.round("g.right", 4).alias("right"))
 
 
 def column_index(centre: Column, splits: Column) -> Column:
@@ -79,10 +92,15 @@ def column_index(centre: Column, splits: Column) -> Column:
 
 
 def column_major(words: DataFrame, gutters: DataFrame, keys=("doc_id", "page_idx")) -> DataFrame:
-    """words with col and reading_no: column by column, in each from top to bottom."""
-    keys = list(keys)
-    splits = gutters.groupBy(*keys).agg(F.array_sort(F.collect_list((F.col("left") + F.col("right")) / 2)).alias("splits"))
-    placed = words.join(splits, keys, "left").withColumn("splits", F.coalesce("splits", F.array().cast("array<double>")))
-    placed = placed.withColumn("col", column_index((F.col("x0") + F.col("x1")) / 2, F.col("splits"))).drop("splits")
-    w = Window.partitionBy(*keys).orderBy("col", "top", "x0", "word_no")
+    """words with col and reading_no: column by column, in each from top to bottom.
+
+    A document's gutters go to its words in one row, by document alone, so words dealt out by document are not moved.
+    """
+    doc, page = keys
+    splits = gutters.groupBy(doc, page).agg(F.array_sort(F.collect_list((F.col("left") + F.col("right")) / 2)).alias("splits"))
+    splits = splits.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(page, "splits"))).alias("splits"))
+    placed = words.join(splits.hint("shuffle_hash"), doc, "left")
+    mine = F.coalesce(F.try_element_at("splits", F.col(page)), F.array().cast("array<double>"))
+    placed = placed.withColumn("col", column_index((F.col("x0") + F.col("x1")) / 2, mine)).drop("splits")
+    w = Window.partitionBy(doc, page).orderBy("col", "top", "x0", "word_no")
     return placed.withColumn("reading_no", (F.row_number().over(w) - 1).cast("long"))

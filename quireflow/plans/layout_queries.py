@@ -84,24 +84,34 @@ def _wrapped(lines):
     lines = lines.withColumn("col_no", F.col("line_no") % 2).withColumn("rows", F.regexp_extract_all("text", F.lit(_ROW), F.lit(1)))
     above = Window.partitionBy("doc_id", "col_no").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
     first = F.expr("line_no DIV 2") + F.coalesce(F.sum(F.size("rows") - 1).over(above), F.lit(0))
-    rows = lines.withColumn("first", first).select("doc_id", "line_no", "col_no", "first", F.posexplode("rows").alias("k", "text"))
-    n_words = F.size(F.filter(F.split("text", " +"), lambda w: w != ""))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n_before", F.coalesce(F.sum(n_words).over(before), F.lit(0))).withColumn("row_no", F.col("first") + F.col("k"))
+    n_words = lambda row: F.size(F.filter(F.split(row, " +"), lambda w: w != ""))
+    before = F.aggregate("rows", F.array(F.lit(0)), lambda ns, row: F.array_append(ns, F.element_at(ns, -1) + n_words(row)))
+    before = F.when(F.size("rows") > 1, before).otherwise(F.array(F.lit(0)))
+    rows = lines.withColumn("first", first).withColumn("before", before).select("doc_id", "line_no", "col_no", "first", "before", F.posexplode("rows").alias("k", "text"))
+    rows = rows.withColumn("n_before", F.get("before", F.col("k"))).withColumn("row_no", F.col("first") + F.col("k"))
     return rows.select("doc_id", "line_no", F.expr("row_no DIV 50").alias("page_idx"), (72 + 12 * (F.col("row_no") % 50)).cast("double").alias("top"), "col_no", "row_no", "n_before", "text")
 
 
 def _two_columns(spark, d):
-    """All words of the documents, laid out in two columns of 60 letters; word_no counts through a line's rows."""
-    words = lift.words_of_lines(_wrapped(_lines(spark, d)))
+    """All words of the documents, laid out in two columns of 60 letters; word_no counts through a line's rows.
+
+    Whole texts are dealt out by document once; all that follows by page or line needs no other exchange.
+    """
+    documents = lift.read(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    words = lift.words_of_lines(_wrapped(lift.document_lines(documents)))
     words = words.withColumn("word_no", F.col("word_no") + F.col("n_before")).drop("n_before")
     left = F.when(F.col("col_no") == 0, _COLUMN[0]).otherwise(_COLUMN[1])
     squeezed = lambda x: left + (F.col(x) - lift.LEFT) * 4 / 6
     return words.withColumn("a", squeezed("x0")).withColumn("b", squeezed("x1")).drop("x0", "x1").withColumnsRenamed({"a": "x0", "b": "x1"})
 
 
-_TWO = f"""{S.LINES}, l2 AS (SELECT doc_id, line_no, ((line_no // 2) // 50)::BIGINT AS page_idx, (72 + 12 * ((line_no // 2) % 50))::DOUBLE AS top, line_no % 2 AS col_no, text[1:60] AS text FROM lines),
-    w2 AS ({S.words_of("l2", "doc_id, line_no", extra=", page_idx, top, col_no")}),
+_ROWS = f"regexp_extract_all(text, '{_ROW}', 1)"
+#: Every line on as many rows of its column as it needs, and their words.
+_TWO = f"""{S.LINES}, l2 AS (SELECT * EXCLUDE (row_no), row_no, (row_no // 50)::BIGINT AS page_idx, (72 + 12 * (row_no % 50))::DOUBLE AS top FROM (
+        SELECT doc_id, line_no, col_no, unnest(rs) AS text, (first + generate_subscripts(rs, 1) - 1)::BIGINT AS row_no FROM (
+            SELECT *, line_no // 2 + coalesce(sum(len(rs) - 1) OVER (PARTITION BY doc_id, col_no ORDER BY line_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (
+                SELECT doc_id, line_no, line_no % 2 AS col_no, {_ROWS} AS rs FROM lines)))),
+    w2 AS (SELECT * EXCLUDE (word_no), (row_number() OVER (PARTITION BY doc_id, line_no ORDER BY row_no, word_no) - 1)::BIGINT AS word_no FROM ({S.words_of("l2", "doc_id, line_no, row_no", extra=", page_idx, top, col_no")})),
     cw AS (SELECT doc_id, line_no, page_idx, top, word_no, word, CASE col_no WHEN 0 THEN 40.0 ELSE 320.0 END::DOUBLE + (x0 - 72) * 4 / 6 AS x0, CASE col_no WHEN 0 THEN 40.0 ELSE 320.0 END::DOUBLE + (x1 - 72) * 4 / 6 AS x1 FROM w2),
     cover AS (SELECT DISTINCT doc_id, page_idx, top, unnest(range(greatest(0, least(299, floor(x0 / 2.0)))::BIGINT, greatest(0, least(299, floor(x1 / 2.0)))::BIGINT + 1)) AS bin FROM cw),
     hist AS (SELECT doc_id, page_idx, bin, count(*)::BIGINT AS n FROM cover GROUP BY ALL)"""
@@ -126,7 +136,7 @@ def gutter_runs(spark, d):
     pc AS (SELECT cw.*, len(list_filter(coalesce(s, []), lambda x: x <= (x0 + x1) / 2))::BIGINT AS col FROM cw LEFT JOIN sp USING (doc_id, page_idx))
     SELECT doc_id, page_idx, line_no, word_no, col, (row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY col, top, x0, word_no) - 1)::BIGINT AS reading_no FROM pc""")
 def column_major_order(spark, d):
-    words = _two_columns(spark, d)
+    words = _two_columns(spark, d).select("doc_id", "page_idx", "line_no", "word_no", "top", "x0", "x1")
     return FO.column_major(words, FO.gutter_runs(words, _WIDTH)).select("doc_id", "page_idx", "line_no", "word_no", "col", "reading_no")
 
 

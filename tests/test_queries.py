@@ -5,14 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quireflow.plans import sql as S
 from quireflow.plans.catalogue import QUERIES, SQL
 
 from .compare import spark_rows, sql_rows
 
 DIR = "/root/testdata/sf0.001"
 SOME = (
-    "line_type_counts statement_line_features words_from_documents html_blocks word_numeric_flags sentences_core roman_to_int enum_level fragment_merge gutter_runs column_major_order repeated_header_footer "
+    "line_type_counts statement_line_features words_from_documents html_blocks word_numeric_flags sentences_core roman_to_int enum_level fragment_merge gutter_histogram gutter_runs prose_columns column_major_order repeated_header_footer "
     "style_space_stats block_types merge_paragraphs tree_depth channel_cuts symbol_column_merge token_in_block asof_heading resolve_labels unit_edges markdown_pages effective_recall pairwise_f1 windowdiff_score streamed_line_types"
 ).split()
 ALL = bool(os.environ.get("QUIREFLOW_ALL"))
@@ -49,23 +48,6 @@ def test_partitions_do_not_matter(spark, name):
     assert found[0] == found[1]
 
 
-ROWS = r"regexp_extract_all(text, '(?s)([^ ].{0,59}|[^ ]+)(?: +|$)', 1)"
-#: The lines of the queries' SQL, with every line on as many rows of its column as it needs.
-WHOLE = f"""l2 AS (SELECT * EXCLUDE (row_no), row_no, (row_no // 50)::BIGINT AS page_idx, (72 + 12 * (row_no % 50))::DOUBLE AS top FROM (
-        SELECT doc_id, line_no, col_no, unnest(rs) AS text, (first + generate_subscripts(rs, 1) - 1)::BIGINT AS row_no FROM (
-            SELECT *, line_no // 2 + coalesce(sum(len(rs) - 1) OVER (PARTITION BY doc_id, col_no ORDER BY line_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (
-                SELECT doc_id, line_no, line_no % 2 AS col_no, {ROWS} AS rs FROM lines)))),
-    w2 AS (SELECT * EXCLUDE (word_no), (row_number() OVER (PARTITION BY doc_id, line_no ORDER BY row_no, word_no) - 1)::BIGINT AS word_no FROM ({S.words_of("l2", "doc_id, line_no, row_no", extra=", page_idx, top, col_no")})),
-    cw AS"""
-
-
-@pytest.mark.parametrize("name", ["gutter_histogram", "gutter_runs", "prose_columns", "column_major_order"])
-def test_two_columns_of_whole_lines(spark, name):
-    sql = SQL[name]
-    a, b = sql.index("l2 AS ("), sql.index("cw AS (")
-    assert spark_rows(QUERIES[name](spark, DIR)) == sql_rows(sql[:a] + WHOLE + sql[b + len("cw AS") :], DIR)
-
-
 def test_every_word_has_a_place_in_a_column(spark):
     words = {(r["doc_id"], r["line_no"], r["word_no"]) for r in QUERIES["words_from_documents"](spark, DIR).select("doc_id", "line_no", "word_no").collect()}
     placed = [(r["doc_id"], r["line_no"], r["word_no"]) for r in QUERIES["column_major_order"](spark, DIR).collect()]
