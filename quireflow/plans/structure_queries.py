@@ -6,13 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+from quireflow.functions import lines as L
+from quireflow.functions import words as W
+from quireflow.operators import blocks as B
+from quireflow.operators import formation as FO
+from quireflow.operators import grouping as GR
 from quireflow.operators import levels as LV
 from quireflow.operators import spans as SN
 from quireflow.sources import lift
 
 from . import sql as S
 from .block_queries import _BLOCKS, _blocks
-from .layout_queries import _swords
+from .layout_queries import _SEGMENTS, _swords
 from .line_queries import _statements
 from .registry import query
 
@@ -37,7 +42,7 @@ _STACK = rf"""{_CUSTOMER}, k0 AS (SELECT *, {_FIRST} AS fw, {S.kind(_FIRST)} AS
     ks AS (SELECT doc_id, block_idx, block_type, {{'key': size::VARCHAR || '|' || weight || '|' || up || '|' || block_type || '|' || special,
         'kind': CASE WHEN listed THEN nk || CASE WHEN {S.upper("fw")} THEN 'u' ELSE '' END || regexp_extract(fw, '([).])$', 1) WHEN block_type = 'list_item' THEN 'bullet' ELSE '' END,
         'size': size::DOUBLE, 'weight': weight, 'up': up, 'header': header, 'item': block_type = 'list_item', 'caps': header AND up,
-        'mid': abs((l + r) / 2 - 306) < 6.12 AND r - l < 489.6, 'l': l::DOUBLE, 't': t::DOUBLE, 'ord': CASE WHEN listed THEN {_ORDINAL} END}} AS x FROM k1),
+        'mid': abs((l + r) / 2 - 306) < 6.12 AND (r - l) * 2 < 612, 'l': l::DOUBLE, 't': t::DOUBLE, 'ord': CASE WHEN listed THEN {_ORDINAL} END}} AS x FROM k1),
     st(doc_id, block_idx, level, stack, lists) AS (
         SELECT doc_id, block_idx, 0::BIGINT, [x], CASE WHEN x.ord IS NULL THEN [] ELSE [{{'kind': x.kind, 'ord': x.ord, 'level': 0::BIGINT}}] END FROM ks WHERE block_idx = 0
         UNION ALL SELECT doc_id, block_idx, level, list_append(stack[1:keep], x), list_concat(list_filter(lists, lambda o: o.level < level OR (NOT x.header AND x.ord IS NULL)),
@@ -130,3 +135,67 @@ def statement_table_spans(spark, d):
     """Tables across the pages of each customer's statements."""
     return SN.table_spans(_statement_rows(spark, d))
 
+
+
+# groups of lines
+
+
+def _visual_lines(spark, d):
+    """The segments of a customer's statements as visual lines, with the most frequent step of their style in the document."""
+    words = F.array_sort(F.collect_list(F.struct("x0", "cell_no", "word_no", "word")))
+    segs = FO.segments(_swords(spark, d)).groupBy("doc_id", "line_no", "seg_no").agg(
+        F.array_join(F.transform(words, lambda s: s["word"]), " ").alias("text"), F.min("top").alias("top"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.max("size").alias("size"), F.max("weight").alias("weight")
+    )
+    orders = lift.read(spark, d, "orders").select(F.col("o_orderkey").alias("page_idx"), F.col("o_custkey").alias("doc"))
+    rows = L.with_features(segs).withColumnRenamed("doc_id", "page_idx").join(orders, "page_idx").withColumnRenamed("doc", "doc_id")
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx", "line_no", "seg_no")) - 1
+    style = F.concat_ws("|", F.col("size").cast("string"), F.col("weight").cast("string"))
+    rows = rows.select(
+        "doc_id", no.cast("long").alias("line_no"), "page_idx", "top", "left", "right", F.col("size").alias("height"), "size", "weight", style.alias("style"), F.array(style).alias("classes"), "text", "numbered",
+        "list_item", F.col("delimiter").alias("ended"), W.is_upper(F.col("text")).alias("caps"), F.lit(False).alias("nouns"), "n_words", F.lit(float(lift.LETTER)).alias("blank"),
+    )
+    gaps = B.spacing(rows, ["doc_id", "page_idx"], ["line_no"]).groupBy("doc_id", "size", "weight", "gap").agg(F.count(F.lit(1)).alias("n"))
+    modes = B.most_frequent(gaps, ["doc_id", "size", "weight"], "gap").select("doc_id", "size", "weight", F.col("mode_gap").alias("mode"))
+    return rows.join(modes, ["doc_id", "size", "weight"], "left")
+
+
+_GROUPS = f"""{S.STATEMENT_WORDS}, {_SEGMENTS},
+    vs AS (SELECT doc_id AS page_idx, line_no, seg_no, string_agg(word, ' ' ORDER BY x0, cell_no, word_no) AS text, min(top) AS top, min(x0) AS l, max(x1) AS r, max(size) AS size, max(weight) AS weight FROM segs GROUP BY ALL),
+    {S.features("vs", "page_idx, line_no, seg_no, top, l, r, size, weight")},
+    vl AS (SELECT o_custkey AS doc_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY page_idx, line_no, seg_no) - 1)::BIGINT AS line_no, page_idx, top, l, r, size, weight, text, numbered AS num, list_item AS item, delimiter AS ended,
+        {S.upper("text")} AS caps, n_words, abs((l + r) / 2 - 306) < 9.18 AND (r - l) * 2 < 612 AS mid FROM features JOIN orders ON o_orderkey = page_idx),
+    gp AS (SELECT doc_id, size, weight, CASE WHEN lag(size) OVER o = size AND lag(weight) OVER o = weight THEN round(top - lag(top) OVER o, 1) END AS gap FROM vl WINDOW o AS (PARTITION BY doc_id, page_idx ORDER BY line_no)),
+    md AS (SELECT doc_id, size, weight, arg_max(gap, (n, -gap)) AS mode FROM (SELECT doc_id, size, weight, gap, count(*) AS n FROM gp WHERE gap > 0 GROUP BY ALL) GROUP BY ALL),
+    pr AS (SELECT c.*, q.page_idx = c.page_idx AS sp, q.top AS pt, q.size AS ph, q.l AS pl, q.r AS pr, q.weight AS pw, q.num AS pn, q.item AS pi, q.ended AS pe, q.mid AS pm, q.text AS ptext, mc.mode AS mode, mq.mode AS pmode,
+            CASE WHEN q.page_idx = c.page_idx THEN round(c.top - q.top, 1) ELSE 0 END AS space, c.top - q.top - q.size AS act
+        FROM vl c JOIN vl q ON q.doc_id = c.doc_id AND q.line_no = c.line_no - 1 LEFT JOIN md mc ON mc.doc_id = c.doc_id AND mc.size = c.size AND mc.weight = c.weight LEFT JOIN md mq ON mq.doc_id = q.doc_id AND mq.size = q.size AND mq.weight = q.weight),
+    px AS (SELECT *, sp AND (abs(top + size / 2 - pt - ph / 2) / (top + size / 2) < 0.005 OR abs(top - pt) < ph / 4) AS st0, pe OR num OR mid OR pm AS soon, size <> ph OR weight <> pw AS differs,
+            pe OR num OR (abs(pl - l) < 10 AND pr < 244.8) OR mid OR pm AS newpage FROM pr),
+    gr(doc_id, line_no, opens, n, fl, fn, caps, tl, tt, mx, mn, tb, ls, rs) AS (
+        SELECT doc_id, line_no, true, 1, l, num, caps, l, top, top, top, false, num OR item, false FROM vl WHERE line_no = 0
+        UNION ALL SELECT doc_id, line_no, new, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN l ELSE fl END, CASE WHEN new THEN num ELSE fn END, CASE WHEN new THEN xcaps ELSE caps AND xcaps END,
+            CASE WHEN new OR top <> tt THEN l ELSE least(tl, l) END, top, CASE WHEN new THEN top ELSE greatest(mx, top) END, CASE WHEN new THEN top ELSE least(mn, top) END, NOT new AND (tb OR becomes), starts, NOT new AND raised
+        FROM (SELECT *, ((CASE WHEN becomes THEN false WHEN tb THEN intable ELSE plain END) OR starts OR out) AND NOT script AS new
+        FROM (SELECT *, ((n_words > 3 AND item) OR (n_words < 6 AND num AND NOT same) OR ((item OR num) AND NOT same)) AND NOT (same AND n > 1 AND NOT para AND l - pr < 18) AND NOT out AS starts
+        FROM (SELECT *, NOT tb AND same AND l - pr > 16.8 AS becomes,
+            (NOT same OR NOT sp) AND NOT (NOT same AND NOT change AND top > pt + ph AND act <= 1.5 * ph AND pl <= l AND l < pr AND pl < r AND r <= pr AND (abs((l + r) / 2 - (pl + pr) / 2) <= 5 OR pl = l OR pr = r)) AS intable,
+            ((NOT ls OR (sp AND size <= top - pt)) AND NOT same AND (para OR change)) OR (same AND para AND l < pr) AS plain,
+            ((pi AND len(ptext) = 1) OR (ls AND NOT same AND (pi OR pn))) AND (top < pt OR regexp_replace(text, '\\([0-9a-zA-Z]+\\)', '', 'g') = '') AS out
+        FROM (SELECT *, NOT change AND CASE WHEN sp THEN ((((more OR (shifts AND (NOT fn OR pe)) OR high OR (pm AND NOT mid)) AND NOT (more AND high AND space < 0 AND abs(space) > 396 AND NOT pe))
+                OR (fn AND num AND step > 1.5 * size) OR (NOT same AND num AND pn AND NOT differs)) AND NOT (NOT more AND high AND NOT pe AND abs(l - pl) < 5 AND act < decider))
+                OR (NOT tb AND NOT same AND diff < 0 AND l - pl > shift) OR (top > pt + ph AND caps AND NOT xcaps) ELSE newpage END AS para
+        FROM (SELECT *, differs AND NOT script AND NOT ((NOT sp OR NOT same) AND abs(size - ph) < 1 AND weight = pw AND NOT pe) AS change, base - l > shift AS shifts,
+            (step > decider AND NOT (round(step) = round(decider) AND step - decider <= 0.25)) OR (num AND pe AND step > 1.5 * size) AS high,
+            (mode IS NULL OR space > 1.1 * mode OR (space < 0 AND NOT raised)) AND NOT (mode IS NULL AND pmode IS NOT NULL)
+                AND NOT (mode IS NULL AND pmode IS NULL AND ((act > 0 AND act < size AND act < ph) OR act < 1.5 * ph OR same)) AS more
+        FROM (SELECT *, raised OR (sp AND rs AND diff > ph AND diff < 1.1 * ph) AS script, CASE WHEN base > 306 AND l > 306 THEN 80 ELSE 200 END AS shift, least(size, ph) * CASE WHEN soon THEN 1.8 ELSE 2.0 END AS decider, abs(diff) AS step
+        FROM (SELECT *, sp AND l - pr < 10 AND diff > 0.1 * ph AND diff < ph AS raised, CASE WHEN same THEN fl ELSE least(fl, tl) END AS base
+        FROM (SELECT x.* EXCLUDE (caps), x.caps AS xcaps, g.n, g.fl, g.fn, g.caps, g.tl, g.tt, g.mx, g.mn, g.tb, g.ls, g.rs,
+            CASE WHEN x.sp THEN greatest(g.mx, x.pt) - x.top ELSE 0 END AS diff, x.st0 OR (x.sp AND g.tb AND g.mn < x.top AND x.top < g.mx) AS same
+        FROM gr g JOIN px x ON x.doc_id = g.doc_id AND x.line_no = g.line_no + 1)))))))))"""
+
+
+@query(f"""WITH RECURSIVE {_GROUPS} SELECT doc_id, line_no, last_value(CASE WHEN opens THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS "group" FROM gr""")
+def line_groups(spark, d):
+    """The group of each visual line of the customers' statements, by its first line."""
+    return GR.grouped(_visual_lines(spark, d)).select("doc_id", "line_no", "group")
