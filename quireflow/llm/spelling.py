@@ -7,10 +7,10 @@ and is never walked: the light subtrees are laid over it (and over the node itse
 only as long as both go on, so a word is walked once for each light edge above it, of which there are at most log2 of
 the number of words.
 
-The top of the trie is merged by Spark: while a node has more than LIMIT words, its light words look up, by equi-joins
-on whole words, what they become with their character replaced by the heavy one, skipped, or preceded by the heavy one,
-and light words meet by a join on what remains of them. Below, a task merges all nodes of a subtree at once, level by
-level, as sorted arrays.
+The top of the trie is merged by Spark: the light words of nodes with more than LIMIT words look up, by an equi-join on
+whole words, what they become with their character replaced by the heavy one, skipped, or preceded by the heavy one, and
+light words meet in groups by what remains of them, of one word for each character at most. Below, a task merges all
+nodes of a subtree at once, level by level, as sorted arrays.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, lower_ascii, release
 
 #: Fixed values of the contract.
 RUN, EVERY, SHORTEST, LEAST, TIMES = r"[A-Za-zÀ-ÿ]", 31, 7, 2, 10
-#: Words of a subtree that one task merges.
-LIMIT = 10_000
+#: Words of a subtree that one task merges, the most large nodes at a depth, and levels that are counted at once.
+LIMIT, MOST_LARGE, LEVELS = 10_000, 20_000, 4
 
 
 def _from(text: Column, place: Column, end: Column | None = None) -> Column:
@@ -156,42 +156,64 @@ def _merged(prefix: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [words[k] for k in a], "b": [words[k] for k in b]}, dtype=object)
 
 
+def _prefix(depth: Column) -> Column:
+    return F.substr(F.col("word"), F.lit(1), depth)
+
+
+def large_nodes(words: DataFrame, limit: int) -> DataFrame:
+    """prefix, heavy: nodes of the words' trie with more than `limit` words, and the character of their heavy child.
+
+    A few levels are counted at once, and further ones only below nodes that are still large.
+    """
+    found, low, open_ = None, 0, words.select("word")
+    while True:
+        depths = F.sequence(F.lit(low), F.least(F.length("word"), F.lit(low + LEVELS)))
+        counts = open_.select(F.explode(F.when(F.length("word") >= low, depths)).alias("depth"), "word").groupBy(_prefix(F.col("depth")).alias("prefix")).agg(F.count("*").alias("size"))
+        counts = cut(counts)
+        parent = F.expr("substring(prefix, 1, length(prefix) - 1)")
+        child = F.struct("size", F.right("prefix", F.lit(1)).alias("char"))
+        heavy = counts.filter(F.length("prefix") > low).groupBy(parent.alias("prefix")).agg(F.max(child)["char"].alias("heavy"))
+        large = counts.filter((F.col("size") > limit) & (F.length("prefix") < low + LEVELS)).select("prefix")
+        large = large.join(heavy, "prefix")
+        found = large if found is None else found.unionByName(large)
+        low += LEVELS
+        deeper = counts.filter((F.col("size") > limit) & (F.length("prefix") == low)).select("prefix")
+        if deeper.isEmpty():
+            return cut(found)
+        open_ = open_.withColumn("prefix", _prefix(F.lit(low))).join(F.broadcast(deeper), "prefix", "left_semi").select("word")
+
+
 def near_words(words: DataFrame, *, limit: int = LIMIT) -> DataFrame:
-    """words (word, distinct) -> a, b: words one inserted, deleted or replaced code point apart, each pair once."""
-    word, parts = F.col("word"), []
-    open_ = words.filter("word is not null").select("word", F.lit("").alias("prefix"))
-    subtrees = None
-    for depth in range(1 << 30):
-        at = F.lit(depth)
-        char = _from(word, at, at + 1)
-        sizes = open_.groupBy("prefix").agg(F.count("*").alias("size"))
-        hot = cut(sizes.filter(F.col("size") > limit).select("prefix"))
-        cold = open_.join(hot, "prefix", "left_anti")
-        subtrees = cold if subtrees is None else subtrees.unionByName(cold)
-        if hot.isEmpty():
-            break
-        top = open_.join(hot, "prefix").withColumn("char", char)
-        # the heavy child of each node, the one with most words
-        by_child = top.filter("char <> ''").groupBy("prefix", "char").agg(F.count("*").alias("size"))
-        heavy = by_child.groupBy("prefix").agg(F.max_by("char", F.struct("size", "char")).alias("heavy"))
-        top = cut(top.join(heavy, "prefix", "left"))
-        light = top.filter("heavy is not null and char <> heavy")
-        before, rest, after = _from(word, F.lit(0), at), _from(word, at), _from(word, at + 1)
-        tries = F.array(
-            F.when(F.col("char") != "", F.concat(before, F.col("heavy"), after)),
-            F.when((F.col("char") != "") & (_from(after, F.lit(0), F.lit(1)) != F.col("char")), F.concat(before, after)),
-            F.concat(before, F.col("heavy"), rest),
-        )
-        asked = light.select(F.col("word").alias("a"), F.explode(F.array_compact(tries)).alias("b"))
-        parts.append(cut(asked.join(top.select(F.col("word").alias("b")), "b").select("a", "b")))
-        skipped = light.filter("char <> ''").select("word", "prefix", after.alias("after"))
-        meets = skipped.withColumnRenamed("word", "a").join(skipped.withColumnRenamed("word", "b"), ["prefix", "after"]).filter("a < b")
-        parts.append(cut(meets.select("a", "b")))
-        open_ = top.filter("char <> ''").select("word", F.concat("prefix", "char").alias("prefix"))
-    out = subtrees.groupBy("prefix").applyInPandas(_merged, "a string, b string")
-    for more in parts:
-        out = out.unionByName(more)
-    return out
+    """words (word, distinct) -> a, b: words one inserted, deleted or replaced code point apart, each pair once.
+
+    A task's subtree has at most `limit` words, or one in MOST_LARGE of all, so large nodes are at most MOST_LARGE at a
+    depth and can be broadcast.
+    """
+    words = words.filter("word is not null").select("word")
+    large = large_nodes(words, max(limit, words.count() // MOST_LARGE))
+    deepest = large.agg(F.max(F.length("prefix"))).first()[0]
+    if deepest is None:
+        return words.withColumn("prefix", F.substr("word", F.lit(1), F.lit(0))).groupBy("prefix").applyInPandas(_merged, "a string, b string")
+    word, at = F.col("word"), F.col("depth")
+    depths = words.select("word", F.explode(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(deepest)))).alias("depth"))
+    below = depths.withColumn("prefix", _prefix(at)).join(F.broadcast(large), "prefix").withColumn("char", _from(word, at, at + 1))
+    before, rest, after = F.col("prefix"), _from(word, at), _from(word, at + 1)
+    light = below.filter(F.col("char") != F.col("heavy"))
+    # light words look up what they become; they and the words they meet are in the same node
+    tries = F.array(
+        F.when(F.col("char") != "", F.concat(before, "heavy", after)),
+        F.when((F.col("char") != "") & (_from(after, F.lit(0), F.lit(1)) != F.col("char")), F.concat(before, after)),
+        F.concat(before, "heavy", rest),
+    )
+    asked = light.select(word.alias("a"), F.explode(F.array_compact(tries)).alias("b"))
+    answered = asked.join(words.select(word.alias("b")), "b").select("a", "b")
+    skipped = light.filter("char <> ''").select("word", F.concat(before, F.lit("\0"), after).alias("skipped"))
+    meets = skipped.groupBy("skipped").agg(F.array_sort(F.collect_list("word")).alias("ws")).filter(F.size("ws") > 1)
+    meets = meets.select("ws", F.posexplode("ws").alias("k", "a")).select("a", F.explode(F.slice("ws", F.col("k") + 2, F.size("ws"))).alias("b"))
+    # what hangs below the deepest large node of a word is merged by one task
+    hung = below.groupBy("word").agg(F.max("depth").alias("depth")).filter(F.length("word") > at)
+    merged = hung.select("word", _prefix(at + 1).alias("prefix")).groupBy("prefix").applyInPandas(_merged, "a string, b string")
+    return merged.unionByName(answered).unionByName(meets)
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -214,6 +236,7 @@ def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counts = written_words(docs, id_col=id_col, text_col=text_col, shortest=shortest).groupBy("word").agg(F.count("*").alias("n"))
     words = cut(counts.filter(F.col("n") >= least))
     pairs = cut(near_words(words, limit=limit))
+    release(docs.sparkSession)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("near_n")), "b")
     best = near.groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "b")).alias("best"))
