@@ -12,6 +12,8 @@ from quireflow.operators import blocks as B
 from quireflow.operators import formation as FO
 from quireflow.operators import grouping as GR
 from quireflow.operators import levels as LV
+from quireflow.operators import regions as RG
+from quireflow.operators import rulings as RU
 from quireflow.operators import spans as SN
 from quireflow.sources import lift
 
@@ -199,3 +201,105 @@ _GROUPS = f"""{S.STATEMENT_WORDS}, {_SEGMENTS},
 def line_groups(spark, d):
     """The group of each visual line of the customers' statements, by its first line."""
     return GR.grouped(_visual_lines(spark, d)).select("doc_id", "line_no", "group")
+
+
+# table regions
+
+_LINE_GAPS = """lt AS (SELECT doc_id, greatest(4.0::DOUBLE, 1.2::DOUBLE * median((x1 - x0) / greatest(len(word), 1))) AS least FROM swords GROUP BY doc_id),
+    lw AS (SELECT s.*, least, lag(x1) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1) AS plo FROM swords s JOIN lt USING (doc_id)),
+    lg AS (SELECT doc_id, line_no, least, min(top) AS top, max(bottom) AS bottom, min(x0) AS x0, max(x1) AS x1, coalesce(list({'lo': plo, 'hi': x0} ORDER BY x0, x1) FILTER (WHERE x0 - plo >= least), []) AS gaps FROM lw GROUP BY ALL),
+    ln AS (SELECT *, lead(gaps) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lg)"""
+
+
+def _shared(a: str, b: str, least: str) -> str:
+    return f"list_filter(flatten(list_transform({a}, lambda p: list_transform({b}, lambda q: {{'lo': greatest(p.lo, q.lo), 'hi': least(p.hi, q.hi)}}))), lambda c: c.hi - c.lo >= {least})"
+
+
+_NUMERICISH = r"(regexp_matches({0}, '^[($-]*[0-9][0-9,]*\.?[0-9]*[)%]*$') AND NOT regexp_matches({0}, '^(?:19|20)[0-9]{{2}}$'))"
+_REGIONS = f"""{S.STATEMENT_WORDS}, {_LINE_GAPS},
+    rb(doc_id, k, line_no, band, channels) AS (SELECT doc_id, k, line_no, CASE WHEN len(gaps) > 0 THEN line_no END, gaps FROM ln WHERE k = 1
+        UNION ALL SELECT doc_id, k, line_no, CASE WHEN band IS NOT NULL AND len(gaps) > 0 AND len(common) > 0 THEN band WHEN caption THEN band WHEN len(gaps) > 0 THEN line_no END,
+            CASE WHEN band IS NOT NULL AND len(gaps) > 0 AND len(common) > 0 THEN common WHEN caption THEN channels ELSE gaps END
+        FROM (SELECT n.doc_id, n.k, n.line_no, n.gaps, r.band, r.channels, {_shared("r.channels", "n.gaps", "n.least")} AS common,
+            len(n.gaps) = 0 AND r.band IS NOT NULL AND len({_shared("r.channels", "coalesce(n.nxt, [])", "n.least")}) > 0 AS caption FROM rb r JOIN ln n ON n.doc_id = r.doc_id AND n.k = r.k + 1)),
+    hb AS (SELECT rb.doc_id, rb.line_no, band, channels, x0, top, x1, bottom, gaps, least FROM rb JOIN ln USING (doc_id, line_no) WHERE band IS NOT NULL),
+    b0 AS (SELECT doc_id, band, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, arg_max(channels, line_no) AS channels, min(line_no) AS first_line, max(line_no) AS last_line, any_value(least) AS least
+        FROM hb GROUP BY doc_id, band HAVING count(*) FILTER (WHERE len(gaps) > 0) >= 3 AND len(arg_max(channels, line_no)) > 0),
+    sd AS (SELECT b.doc_id, b.band, s.line_no, CASE WHEN s.x1 <= (b.channels[1].lo + b.channels[1].hi) / 2 THEN 'l' WHEN s.x0 >= (b.channels[1].lo + b.channels[1].hi) / 2 THEN 'r' END AS side, string_agg(s.word, ' ' ORDER BY s.x0, s.word) AS text
+        FROM b0 b JOIN hb h ON h.doc_id = b.doc_id AND h.band = b.band AND len(h.gaps) > 0 JOIN swords s ON s.doc_id = h.doc_id AND s.line_no = h.line_no WHERE len(b.channels) = 1 GROUP BY ALL),
+    sg AS (SELECT DISTINCT doc_id, band FROM (SELECT doc_id, band, side FROM sd WHERE side IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND avg(({_NUMERICISH.format("text")})::INT) >= 0.5)),
+    b1 AS (SELECT * FROM b0 WHERE len(channels) > 1 OR (doc_id, band) IN (SELECT (doc_id, band) FROM sg)),
+    b2 AS (SELECT *, lag(last_line) OVER (PARTITION BY doc_id ORDER BY first_line) AS pl, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS k FROM b1),
+    b3 AS (SELECT b2.doc_id, b2.k, b2.first_line, b2.x0, b2.top, b2.x1, b2.bottom, b2.channels, b2.least, coalesce(max(lg.x1 - lg.x0), 0) AS between_ FROM b2 LEFT JOIN lg ON lg.doc_id = b2.doc_id AND lg.line_no > b2.pl AND lg.line_no < b2.first_line GROUP BY ALL),
+    br(doc_id, k, region, x0, top, x1, bottom, channels) AS (SELECT doc_id, k, first_line, x0, top, x1, bottom, channels FROM b3 WHERE k = 1
+        UNION ALL SELECT doc_id, k, CASE WHEN near THEN region ELSE first_line END, CASE WHEN near THEN least(x0, nx0) ELSE nx0 END, CASE WHEN near THEN top ELSE ntop END, CASE WHEN near THEN greatest(x1, nx1) ELSE nx1 END,
+            CASE WHEN near THEN greatest(bottom, nbottom) ELSE nbottom END, CASE WHEN near THEN common ELSE nch END
+        FROM (SELECT *, len(common) > 0 AND ntop - bottom BETWEEN 0 AND 48 AND between_ <= 0.7 * greatest(x1 - x0, nx1 - nx0) AS near
+        FROM (SELECT n.doc_id, n.k, n.first_line, n.x0 AS nx0, n.top AS ntop, n.x1 AS nx1, n.bottom AS nbottom, n.channels AS nch, n.between_, r.region, r.x0, r.top, r.x1, r.bottom, {_shared("r.channels", "n.channels", "n.least")} AS common
+            FROM br r JOIN b3 n ON n.doc_id = r.doc_id AND n.k = r.k + 1))),
+    regions AS (SELECT doc_id, region, arg_max(x0, k) AS x0, arg_max(top, k) AS top, arg_max(x1, k) AS x1, arg_max(bottom, k) AS bottom FROM br GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_REGIONS} SELECT * FROM regions")
+def page_regions(spark, d):
+    """Table regions of each statement."""
+    return RG.regions(_swords(spark, d))
+
+
+def _candidates(spark, d):
+    """Regions first, then the box around all rows of a statement and what stands up to 40 points above them, then its upper half."""
+    words = _swords(spark, d)
+    found = RG.regions(words).select("doc_id", F.concat(F.lit("region "), "region").alias("candidate"), F.col("region").alias("priority"), "x0", "top", "x1", "bottom")
+    box = [F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")]
+    rows = words.filter("kind = 'row'").groupBy("doc_id").agg(*box).select("doc_id", F.lit("rows").alias("candidate"), F.lit(1000).cast("long").alias("priority"), "x0", (F.col("top") - 40).alias("top"), "x1", "bottom")
+    half = words.filter("top < 200").groupBy("doc_id").agg(*box).select("doc_id", F.lit("upper").alias("candidate"), F.lit(2000).cast("long").alias("priority"), "x0", "top", "x1", "bottom")
+    return words.withColumn("word_id", F.col("line_no") * 1_000_000 + F.col("cell_no") * 10_000 + F.col("word_no")), found.unionByName(rows).unionByName(half)
+
+
+@query(f"""WITH RECURSIVE {_REGIONS},
+    cd AS (SELECT doc_id, 'region ' || region AS candidate, region AS priority, x0, top, x1, bottom FROM regions
+        UNION ALL SELECT doc_id, 'rows', 1000, min(x0), min(top) - 40, max(x1), max(bottom) FROM swords WHERE kind = 'row' GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'upper', 2000, min(x0), min(top), max(x1), max(bottom) FROM swords WHERE top < 200 GROUP BY doc_id),
+    ck AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority) AS k FROM cd),
+    wl AS (SELECT doc_id, list({{'id': line_no * 1000000 + cell_no * 10000 + word_no, 'x': (x0 + x1) / 2, 'y': (top + bottom) / 2}}) AS ws FROM swords GROUP BY doc_id),
+    cl(doc_id, k, ws, candidate, won) AS (SELECT doc_id, 0::BIGINT, ws, '', []::BIGINT[] FROM wl
+        UNION ALL SELECT doc_id, k, CASE WHEN len(got) >= 4 THEN list_filter(ws, lambda w: NOT list_contains(got, w.id)) ELSE ws END, candidate, CASE WHEN len(got) >= 4 THEN got ELSE [] END
+        FROM (SELECT c.doc_id, ck.k, ws, ck.candidate, list_transform(list_filter(ws, lambda w: w.x >= ck.x0 AND w.x <= ck.x1 AND w.y >= ck.top AND w.y <= ck.bottom), lambda w: w.id) AS got FROM cl c JOIN ck ON ck.doc_id = c.doc_id AND ck.k = c.k + 1))
+    SELECT doc_id, unnest(won) AS word_id, candidate FROM cl""")
+def claimed_words(spark, d):
+    """The one candidate that each word of a statement goes to."""
+    return RG.claimed(*_candidates(spark, d))
+
+
+# ruled tables
+
+_RULE_XS = [x - 2.0 for x in lift.CELL_LEFTS]
+
+
+def _rules(spark, d):
+    """Rules around the rows of each statement and a band above them; every second one lacks the rule behind the sign of money."""
+    rows = lift.statement_lines(spark, d).filter("kind = 'row'")
+    one = lambda o, x0, top, x1, bottom: F.struct(F.lit(o).alias("orientation"), *[c.cast("double").alias(n) for c, n in ((x0, "x0"), (top, "top"), (x1, "x1"), (bottom, "bottom"))])
+    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    end = F.lit(182.0) + 14 * F.col("n") - 2
+    across = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: one("h", F.lit(70.0), 180.0 + 14 * k, F.lit(556.0), 180.0 + 14 * k))
+    outer = F.array(one("h", F.lit(70.0), F.lit(152.0), F.lit(556.0), F.lit(152.0)), one("v", F.lit(70.0), F.lit(152.0), F.lit(70.0), end), one("v", F.lit(556.0), F.lit(152.0), F.lit(556.0), end))
+    inner = F.array(*[F.when((F.lit(k != 3)) | (F.col("doc_id") % 2 == 0), one("v", F.lit(x), F.lit(180.0), F.lit(x), end)) for k, x in enumerate(_RULE_XS) if k])
+    return n.select("doc_id", F.explode(F.array_compact(F.concat(across, outer, inner))).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"""WITH RECURSIVE {S.STATEMENT_WORDS}, nr AS (SELECT doc_id, count(*) AS n FROM statement WHERE kind = 'row' GROUP BY doc_id),
+    hr AS (SELECT doc_id, 180.0 + 14 * unnest(range(n + 1)) AS y FROM nr UNION ALL SELECT doc_id, 152.0 FROM nr),
+    vr AS (SELECT doc_id, x, CASE WHEN x IN (70.0, 556.0) THEN 152.0 ELSE 180.0 END AS lo, 180.0 + 14 * n AS hi FROM nr, (SELECT unnest({[*_RULE_XS, 556.0]}) AS x) WHERE x <> {_RULE_XS[3]} OR doc_id % 2 = 0),
+    pt AS (SELECT doc_id, x, y FROM hr JOIN vr USING (doc_id) WHERE y >= lo - 3 AND y <= hi + 3),
+    rc AS (SELECT a.doc_id, a.x AS x0, a.y AS top, min(struct_pack(b := c.y, r := b.x)) AS m FROM pt a JOIN pt b ON b.doc_id = a.doc_id AND b.y = a.y AND b.x > a.x JOIN pt c ON c.doc_id = a.doc_id AND c.x = a.x AND c.y > a.y
+        JOIN pt e ON e.doc_id = a.doc_id AND e.x = b.x AND e.y = c.y GROUP BY ALL),
+    st AS (SELECT doc_id, list(DISTINCT x0 ORDER BY x0) AS starts FROM rc GROUP BY doc_id),
+    pc AS (SELECT rc.doc_id, x0, top, m.r AS x1, m.b AS bottom, dense_rank() OVER (PARTITION BY rc.doc_id ORDER BY top) - 1 AS row_no, list_filter(range(len(starts)), lambda i: starts[i + 1] >= x0 AND starts[i + 1] < m.r - 1) AS cols FROM rc JOIN st USING (doc_id)),
+    tx AS (SELECT p.doc_id, p.row_no, p.x0, p.x1, p.cols, coalesce(string_agg(s.word, ' ' ORDER BY s.line_no, s.x0, s.word), '') AS text FROM pc p LEFT JOIN swords s ON s.doc_id = p.doc_id AND (s.x0 + s.x1) / 2 >= p.x0 AND (s.x0 + s.x1) / 2 < p.x1
+        AND (s.top + s.bottom) / 2 >= p.top AND (s.top + s.bottom) / 2 < p.bottom GROUP BY ALL)
+    SELECT doc_id, 0::BIGINT AS table_no, row_no::BIGINT AS row_no, unnest(cols)::BIGINT AS col_no, len(cols)::BIGINT AS colspan,
+        count(*) FILTER (WHERE text <> '') OVER (PARTITION BY doc_id, row_no) = 1 AND text <> '' AND cols[1] = 0 AND x1 >= 554 AS is_caption, text FROM tx""")
+def ruled_tables(spark, d):
+    """The cells of a grid drawn around each statement's rows."""
+    return RU.ruled_grids(_rules(spark, d), _swords(spark, d))
