@@ -15,6 +15,7 @@ from quireflow.operators import levels as LV
 from quireflow.operators import regions as RG
 from quireflow.operators import rulings as RU
 from quireflow.operators import spans as SN
+from quireflow.operators import table_build as TT
 from quireflow.sources import lift
 
 from . import sql as S
@@ -99,7 +100,7 @@ def _statement_rows(spark, d):
     lines = lines.withColumnRenamed("doc_id", "k").join(orders, "k")
     no = F.row_number().over(Window.partitionBy("doc").orderBy("k", "line_no")) - 1
     return lines.select(
-        F.col("doc").alias("doc_id"), no.cast("long").alias("block_idx"), F.col("k").alias("page_idx"), "top", F.col("size").alias("height"), "left", "size", "weight",
+        F.col("doc").alias("doc_id"), no.cast("long").alias("block_idx"), F.col("k").alias("page_idx"), "line_no", "top", F.col("size").alias("height"), "left", "size", "weight",
         F.col("table_row").alias("is_row"), "cells", "n_words", F.lit(False).alias("centred_italic"), "text",
     )
 
@@ -108,7 +109,7 @@ def _cells_sql(words: str) -> str:
     return f"""(SELECT doc_id, line_no, list(x0 ORDER BY x0) FILTER (WHERE g) AS cells FROM (SELECT doc_id, line_no, x0, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1) > 2.8 * 6, true) AS g FROM {words}) GROUP BY ALL)"""
 
 
-_STATEMENT_ROWS = f"""{S.STATEMENT_FEATURES},{S.STATEMENT_WORDS[len(S.STATEMENTS) + 1 :]}, blk AS (SELECT o_custkey AS doc_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY f.doc_id, f.line_no) - 1)::BIGINT AS block_idx, f.doc_id AS page_idx, f.top, f.size AS h, f.left_ AS l,
+_STATEMENT_ROWS = f"""{S.STATEMENT_FEATURES},{S.STATEMENT_WORDS[len(S.STATEMENTS) + 1 :]}, blk AS (SELECT o_custkey AS doc_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY f.doc_id, f.line_no) - 1)::BIGINT AS block_idx, f.doc_id AS page_idx, f.line_no, f.top, f.size AS h, f.left_ AS l,
     f.size, f.weight, f.table_row AS is_row, c.cells, f.n_words, false AS it, f.text FROM features f JOIN {_cells_sql("swords")} c USING (doc_id, line_no) JOIN orders ON o_orderkey = f.doc_id)"""
 _SPANS = """sp0 AS (SELECT *, last_value(CASE WHEN is_row THEN {'cells': cells, 'page': page_idx, 'size': size, 'weight': weight} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
         CASE WHEN lag(page_idx) OVER o = page_idx THEN top - lag(top + h) OVER o END AS gap FROM blk WINDOW o AS (PARTITION BY doc_id ORDER BY block_idx)),
@@ -303,3 +304,66 @@ def _rules(spark, d):
 def ruled_tables(spark, d):
     """The cells of a grid drawn around each statement's rows."""
     return RU.ruled_grids(_rules(spark, d), _swords(spark, d))
+
+
+# tables from their lines
+
+
+def _table_lines(spark, d):
+    """The lines of all tables in the customers' statements, their cells parted by more than 2.8 blanks."""
+    w = Window.partitionBy("doc_id", "line_no").orderBy("x0", "x1")
+    words = _swords(spark, d).withColumn("_new", F.coalesce(F.col("x0") - F.lag("x1").over(w) > 2.8 * lift.LETTER, F.lit(True)))
+    words = words.withColumn("seg", FO.island(F.col("_new"), ["doc_id", "line_no"], ["x0", "x1"]))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda s: s["word"]), " ")
+    segs = words.groupBy("doc_id", "line_no", "seg").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
+    cells = segs.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("texts")).withColumnsRenamed({"doc_id": "page_idx", "line_no": "no"})
+    rows = _statement_rows(spark, d)
+    spans = SN.table_spans(rows).withColumn("table_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_block")) - 1)
+    w = Window.partitionBy("doc_id").orderBy("block_idx", "no")
+    starts = spans.select("doc_id", F.col("first_block").alias("block_idx"), F.lit(0).alias("no"), F.struct("table_no", "last_block").alias("span"))
+    lines = rows.select("doc_id", "block_idx", F.lit(1).alias("no"), F.struct("page_idx", "line_no", "is_row", "top", "height").alias("x"))
+    held = lines.unionByName(starts, allowMissingColumns=True).withColumn("span", F.last("span", ignorenulls=True).over(w)).filter("no = 1 AND block_idx <= span.last_block")
+    held = held.select("doc_id", F.col("span.table_no").cast("long").alias("table_no"), "block_idx", "x.*").withColumnRenamed("line_no", "no").join(cells, ["page_idx", "no"])
+    return held.select("doc_id", "table_no", F.col("block_idx").alias("line_no"), "is_row", "top", (F.col("top") + F.col("height")).alias("bottom"), F.col("texts").alias("cells"))
+
+
+_TABLES = f"""{_STATEMENT_ROWS}, {_SPANS[: _SPANS.rindex("SELECT")]},
+    tb AS (SELECT doc_id, first_block, last_block, row_number() OVER (PARTITION BY doc_id ORDER BY first_block) - 1 AS table_no FROM spans WHERE n_rows >= 2),
+    w0 AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1) > 16.8, true) AS nw FROM swords),
+    w1 AS (SELECT *, sum(nw::INT) OVER (PARTITION BY doc_id, line_no ORDER BY x0, x1) AS seg FROM w0),
+    cx AS (SELECT doc_id AS page_idx, line_no AS no, seg, min(x0) AS x0, max(x1) AS x1, string_agg(word, ' ' ORDER BY x0, word) AS text FROM w1 GROUP BY ALL),
+    tl AS (SELECT b.doc_id, table_no, b.block_idx AS line_no, b.is_row, b.top, b.top + b.h AS bottom, b.page_idx, b.no FROM (SELECT *, line_no AS no FROM blk) b JOIN tb ON tb.doc_id = b.doc_id AND b.block_idx BETWEEN first_block AND last_block),
+    tc AS (SELECT tl.*, x0, x1, text, row_number() OVER (PARTITION BY tl.doc_id, tl.line_no ORDER BY x0) AS c, count(*) OVER (PARTITION BY tl.doc_id, tl.line_no) AS n FROM tl JOIN cx USING (page_idx, no)),
+    dc AS (SELECT * FROM tc WHERE is_row AND NOT (n = 1 AND x1 - x0 > 367.2)),
+    ex AS (SELECT doc_id, table_no, min(x0) AS lo, max(x1) AS hi, count(DISTINCT line_no) AS rows, max(n) AS most, (max(x1) - min(x0)) / 800 AS w FROM dc GROUP BY ALL HAVING count(DISTINCT line_no) >= 2),
+    gv AS (SELECT d.doc_id, d.table_no, lo, w, rows, least(799, greatest(0, floor((x1 - lo) / w)))::INT AS a, least(799, greatest(0, floor((nx - lo) / w)))::INT AS b
+        FROM (SELECT *, lead(x0) OVER (PARTITION BY doc_id, table_no, line_no ORDER BY x0, x1) AS nx FROM dc) d JOIN ex USING (doc_id, table_no) WHERE nx > x1),
+    gu AS (SELECT doc_id, table_no, lo, w, bin, bin - row_number() OVER (PARTITION BY doc_id, table_no ORDER BY bin) AS run FROM (SELECT doc_id, table_no, lo, w, rows, unnest(range(a, b)) AS bin FROM gv) GROUP BY ALL, rows HAVING count(*) >= greatest(2, floor(0.6 * rows)))""".replace(" GROUP BY ALL, rows HAVING", " GROUP BY doc_id, table_no, lo, w, rows, bin HAVING") + """,
+    gs AS (SELECT doc_id, table_no, list(lo + (i + j) / 2.0 * w) AS seps FROM (SELECT doc_id, table_no, lo, w, run, min(bin) AS i, max(bin) + 1 AS j FROM gu GROUP BY ALL) GROUP BY ALL),
+    c0 AS (SELECT doc_id, table_no, len(list_filter(seps, lambda s: s <= (x0 + x1) / 2)) AS k, round(min(x0), 2) AS l, round(max(x1), 2) AS r FROM dc JOIN gs USING (doc_id, table_no) GROUP BY ALL),
+    c1 AS (SELECT doc_id, table_no, k, CASE WHEN lag(r) OVER o > l THEN round((l + lag(r) OVER o) / 2, 2) ELSE l END AS l, CASE WHEN r > lead(l) OVER o THEN round((lead(l) OVER o + r) / 2, 2) ELSE r END AS r FROM c0 WINDOW o AS (PARTITION BY doc_id, table_no ORDER BY k)),
+    co AS (SELECT doc_id, table_no, list({'l': l, 'r': r} ORDER BY k) AS cols FROM c1 GROUP BY ALL HAVING count(*) >= 2 AND bool_and(r > l)),
+    cv AS (SELECT tc.*, cols, list_filter(range(len(cols)), lambda i: (cols[i + 1].l + cols[i + 1].r) / 2 BETWEEN x0 AND x1) AS ins FROM tc JOIN co USING (doc_id, table_no) JOIN ex USING (doc_id, table_no) WHERE len(cols) <= most),
+    cp AS (SELECT *, coalesce(ins[1], list_sort(list_transform(range(len(cols)), lambda i: {'d': abs((cols[i + 1].l + cols[i + 1].r) / 2 - (x0 + x1) / 2), 'i': i}))[1].i) AS col, greatest(len(ins), 1) AS span FROM cv),
+    li AS (SELECT doc_id, table_no, line_no, is_row, top, bottom, any_value(cols) AS cols, max(n) AS n, arg_min(col, x0) AS col, arg_min(span, x0) AS span, min(x0) AS x0, arg_min(x1, x0) AS x1, arg_min(text, x0) AS text FROM cp GROUP BY ALL),
+    lw AS (SELECT *, top - lag(bottom) OVER o AS above, lead(top) OVER o - bottom AS below, n = 1 AND span = 1 AND x0 > CASE WHEN col > 0 THEN cols[col].r ELSE -1 END AND x1 < coalesce(cols[col + 2].l, 1e9) AND x0 < cols[col + 1].r AND NOT ends_with(rtrim(text), ':') AS fits
+        FROM li WINDOW o AS (PARTITION BY doc_id, table_no ORDER BY line_no)),
+    ly AS (SELECT *, CASE WHEN is_row THEN 'row' WHEN NOT fits OR above IS NULL OR below IS NULL THEN 'group' WHEN above < 0 OR above < below THEN 'up' WHEN above > below AND above < 3 * below THEN 'down' ELSE 'group' END AS way FROM lw),
+    lz AS (SELECT *, last_value(CASE WHEN way IN ('row', 'group') THEN {'no': line_no, 'way': way} END IGNORE NULLS) OVER (PARTITION BY doc_id, table_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up,
+        lead({'no': line_no, 'way': way}) OVER (PARTITION BY doc_id, table_no ORDER BY line_no) AS nx FROM ly),
+    lh AS (SELECT doc_id, table_no, line_no, len(cols) AS nc, way, CASE WHEN way = 'up' AND up.way = 'row' THEN up.no WHEN way = 'down' AND nx.way = 'row' THEN nx.no ELSE line_no END AS home FROM lz),
+    fl AS (SELECT cp.doc_id, cp.table_no, home, way = 'row' OR home <> cp.line_no AS in_row, CASE WHEN way = 'row' OR home <> cp.line_no THEN col ELSE 0 END AS col, CASE WHEN way = 'row' OR home <> cp.line_no THEN span ELSE nc END AS span, cp.line_no, x0, text FROM cp JOIN lh USING (doc_id, table_no, line_no)),
+    fe AS (SELECT doc_id, table_no, home, in_row, col, max(span)::BIGINT AS colspan, string_agg(text, ' ' ORDER BY line_no, x0, text) AS text FROM fl GROUP BY ALL),
+    fc AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, table_no ORDER BY home) - 1 AS row_no FROM fe)"""
+
+
+@query(rf"""WITH RECURSIVE {_TABLES} SELECT doc_id, table_no::BIGINT AS table_no, row_no::BIGINT AS row_no, col::BIGINT AS col_no, colspan,
+    CASE WHEN row_no = 0 AND in_row AND count(*) OVER o >= 2 AND avg(({_NUMERICISH.format("text")})::INT) OVER o < 0.3 THEN 'header' WHEN in_row THEN 'row' ELSE 'group' END AS kind, text FROM fc WINDOW o AS (PARTITION BY doc_id, table_no, row_no)""")
+def built_tables(spark, d):
+    """The cells of all tables in the customers' statements."""
+    return TT.built(_table_lines(spark, d))
+
+
+@query(f"WITH RECURSIVE {_TABLES}, r0 AS (SELECT doc_id, table_no, line_no, is_row, max(n) AS n FROM tc GROUP BY ALL), rn AS (SELECT *, sum((NOT is_row)::INT) OVER (PARTITION BY doc_id, table_no ORDER BY line_no) AS run FROM r0), ru AS (SELECT doc_id, table_no, run, count(*) FILTER (WHERE is_row) AS k, max(CASE WHEN is_row THEN n ELSE 1 END) AS n FROM rn GROUP BY ALL) SELECT doc_id, table_no::BIGINT AS table_no, max(n)::BIGINT AS n_cols, max(k)::BIGINT AS longest_run FROM ru GROUP BY ALL")
+def evaluated_tables(spark, d):
+    return TT.evaluated(_table_lines(spark, d))
