@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireflow.sources.shared import cut
+
 # How near cells align, a tight gap in heights, words of a long line, rows of a table
 ALIGN, TIGHT, LONG, LEAST_ROWS = 5.0, 1.5, 10, 2
 #: Blocks of a stretch.
@@ -95,6 +97,7 @@ def with_letters(blocks: DataFrame) -> DataFrame:
 def with_states(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """doc_id, block_idx, is_row, letter, before, state: each block's letter and the states before and behind it."""
     order = F.array_sort(F.collect_list(F.struct("block_idx", "letter", "is_row")))
+    rows = cut(rows.select("doc_id", "block_idx", "letter", "is_row"))
     parts = rows.withColumn("part", F.expr(f"block_idx DIV {stretch}")).groupBy("doc_id", "part").agg(order.alias("bs"))
     one_by_one = F.array(*map(F.lit, range(7)))
     maps = parts.select("doc_id", "part", F.aggregate("bs", one_by_one, lambda m, b: F.transform(m, lambda s: _moved(s, b["letter"]))).alias("moves"))

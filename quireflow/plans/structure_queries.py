@@ -17,6 +17,7 @@ from quireflow.operators import rulings as RU
 from quireflow.operators import spans as SN
 from quireflow.operators import table_build as TT
 from quireflow.sources import lift
+from quireflow.sources.shared import cut
 
 from . import sql as S
 from .block_queries import _BLOCKS, _blocks
@@ -77,6 +78,7 @@ def stack_levels(spark, d):
 def level_chain(spark, d):
     """The headings above each block, the nearest first."""
     rows = LV.stack_levels(_customer_blocks(spark, d))
+    rows = cut(rows)
     most = (rows.agg(F.max("level")).first()[0] or 0) + 1
     return LV.heading_chains(rows, most).select("doc_id", "block_idx", "level", "chain")
 
@@ -317,7 +319,7 @@ def _table_lines(spark, d):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda s: s["word"]), " ")
     segs = words.groupBy("doc_id", "line_no", "seg").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
     cells = segs.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("texts")).withColumnsRenamed({"doc_id": "page_idx", "line_no": "no"})
-    rows = _statement_rows(spark, d)
+    rows = cut(_statement_rows(spark, d))
     spans = SN.table_spans(rows).withColumn("table_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_block")) - 1)
     w = Window.partitionBy("doc_id").orderBy("block_idx", "no")
     starts = spans.select("doc_id", F.col("first_block").alias("block_idx"), F.lit(0).alias("no"), F.struct("table_no", "last_block").alias("span"))
