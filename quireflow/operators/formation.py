@@ -61,21 +61,33 @@ def gutter_histogram(words: DataFrame, width: float, keys=("doc_id", "page_idx")
 def _page_gutters(words: DataFrame, width: float, keys: list) -> DataFrame:
     """keys, gutters: the gutters of each page as (left, right), in order.
 
-    A page's bins are counted row by row; the bin -1, which every row covers, tells how many rows there are. What is
-    quiet lies between two loud bins that follow each other. Every step groups by the page at least, so words that are
-    dealt out by document stay where they are.
+    A sweep over the page's width: a word adds one to the count where it begins and takes it away behind its end, as far
+    as no word before it in its row covers the place. The bin -1, which each row's first word adds to, tells how many
+    rows there are. Every step groups by the page at least, so words that are dealt out by document stay where they are.
     """
     size = width / BINS
     to_bin = lambda x: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(x / size))).cast("int")
-    spans = F.collect_list(F.struct(to_bin(F.col("x0")).alias("a"), to_bin(F.col("x1")).alias("b")))
-    rows = words.groupBy(*keys, "top").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"), spans.alias("spans"))
-    bins = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
-    counts = rows.select(*keys, "lo", "hi", F.explode(F.array_append(bins, F.lit(-1))).alias("bin"))
-    counts = counts.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pages = counts.groupBy(*keys).agg(F.collect_list(F.struct("bin", "n")).alias("bins"), F.max("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    loud = F.transform(F.filter("bins", lambda b: (b["bin"] >= 0) & (b["n"] > F.floor(QUIET * F.col("rows")))), lambda b: b["bin"])
-    pages = pages.withColumn("loud", F.concat(F.array(F.lit(-1)), F.array_sort(loud), F.array(F.lit(BINS))))
-    runs = F.zip_with(F.slice("loud", 1, F.size("loud") - 1), F.slice("loud", 2, F.size("loud") - 1), lambda a, b: F.struct(((a + 1) * size).alias("left"), (b * size).alias("right")))
+    row = Window.partitionBy(F.xxhash64(*keys, "top"), *keys, "top").orderBy("a")  # a hash in front tells rows apart at once when they are sorted
+    before = F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    spans = words.select(*keys, "top", "x0", "x1", to_bin(F.col("x0")).alias("a"), to_bin(F.col("x1")).alias("b")).withColumn("covered", before)
+    spans = spans.withColumn("a", F.when(F.col("covered") >= F.col("a"), F.col("covered") + 1).otherwise(F.col("a")))
+    turn = lambda bin_, n: F.struct(bin_.alias("bin"), n.alias("n"))
+    new = (F.col("a") <= F.col("b")).cast("int")
+    both = F.array(turn(F.col("a"), new), turn(F.col("b") + 1, -new))
+    both = F.when(F.col("covered").isNull(), F.array(turn(F.lit(-1), F.lit(1)), turn(F.col("a"), new), turn(F.col("b") + 1, -new))).otherwise(both)
+    turns = spans.select(*keys, "x0", "x1", F.explode_outer(both).alias("t")).select(*keys, "x0", "x1", "t.*")
+    counts = turns.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.min("x0").alias("lo"), F.max("x1").alias("hi"))
+    pages = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("turns"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    pages = pages.withColumn("most", F.floor(QUIET * F.col("turns")[0]["n"])).withColumn("turns", F.slice("turns", 2, F.size("turns")))
+
+    def step(s, t):
+        level = s["level"] + t["n"]
+        opens, ends = (s["level"] > F.col("most")) & (level <= F.col("most")), (s["level"] <= F.col("most")) & (level > F.col("most"))
+        run = F.struct((s["begin"] * size).alias("left"), (t["bin"] * size).alias("right"))
+        return F.struct(level.alias("level"), F.when(opens, t["bin"]).otherwise(s["begin"]).alias("begin"), F.when(ends, F.array_append(s["runs"], run)).otherwise(s["runs"]).alias("runs"))
+
+    start = F.from_json(F.lit('{"level":0,"begin":0,"runs":[]}'), "struct<level:bigint,begin:int,runs:array<struct<left:double,right:double>>>")
+    runs = F.aggregate("turns", start, step, lambda s: F.array_append(s["runs"], F.struct((s["begin"] * size).alias("left"), F.lit(float(width)).alias("right"))))
     inner = MARGIN * (F.col("hi") - F.col("lo"))
     wide = lambda r: (r["right"] - r["left"] >= GUTTER * width) & (r["left"] > F.col("lo") + inner) & (r["right"] < F.col("hi") - inner)
     return pages.select(*keys, F.filter(runs, wide).alias("gutters"))
@@ -102,5 +114,5 @@ def column_major(words: DataFrame, gutters: DataFrame, keys=("doc_id", "page_idx
     placed = words.join(splits.hint("shuffle_hash"), doc, "left")
     mine = F.coalesce(F.try_element_at("splits", F.col(page)), F.array().cast("array<double>"))
     placed = placed.withColumn("col", column_index((F.col("x0") + F.col("x1")) / 2, mine)).drop("splits")
-    w = Window.partitionBy(doc, page).orderBy("col", "top", "x0", "word_no")
+    w = Window.partitionBy(F.xxhash64(doc, page), doc, page).orderBy("col", "top", "x0", "word_no")
     return placed.withColumn("reading_no", (F.row_number().over(w) - 1).cast("long"))
