@@ -40,7 +40,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there; the files go when the result is no longer referenced."""
+    """Write df to the shared folder and go on from there.
+
+    Spark deletes the files of a result that is no longer referenced where spark.cleaner.referenceTracking.cleanCheckpoints
+    is set; otherwise they stay, like the tables below fresh_dir(), until the folder is cleared.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
