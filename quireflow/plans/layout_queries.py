@@ -70,6 +70,8 @@ def cid_strip(spark, d):
 
 
 _WIDTH, _COLUMN = 600.0, (40.0, 320.0)
+#: Parts of the laid-out words for each part of a usual shuffle.
+EXPANDED = 4
 
 
 #: A row of a column: whole words on at most 60 letters, or one longer word.
@@ -84,7 +86,8 @@ def _wrapped(lines):
     lines = lines.withColumn("col_no", F.col("line_no") % 2).withColumn("rows", F.regexp_extract_all("text", F.lit(_ROW), F.lit(1)))
     above = Window.partitionBy("doc_id", "col_no").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
     first = F.expr("line_no DIV 2") + F.coalesce(F.sum(F.size("rows") - 1).over(above), F.lit(0))
-    n_words = lambda row: F.size(F.filter(F.split(row, " +"), lambda w: w != ""))
+    n_blanks = lambda row: F.length(row) - F.length(F.replace(row, F.lit(" "), F.lit("")))
+    n_words = lambda row: F.when(row.contains("  "), F.size(F.filter(F.split(row, " +"), lambda w: w != ""))).otherwise(n_blanks(F.trim(row)) + 1)
     before = F.aggregate("rows", F.array(F.lit(0)), lambda ns, row: F.array_append(ns, F.element_at(ns, -1) + n_words(row)))
     before = F.when(F.size("rows") > 1, before).otherwise(F.array(F.lit(0)))
     rows = lines.withColumn("first", first).withColumn("before", before).select("doc_id", "line_no", "col_no", "first", "before", F.posexplode("rows").alias("k", "text"))
@@ -95,9 +98,11 @@ def _wrapped(lines):
 def _two_columns(spark, d):
     """All words of the documents, laid out in two columns of 60 letters; word_no counts through a line's rows.
 
-    Whole texts are dealt out by document once; all that follows by page or line needs no other exchange.
+    Whole texts are dealt out by document once; all that follows by page or line needs no other exchange. Laid-out words
+    take many times the room of their text, so there are more parts than a shuffle has by default.
     """
-    documents = lift.read(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    n_parts = EXPANDED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    documents = lift.read(spark, d, "documents").select("doc_id", "text").repartition(n_parts, "doc_id")
     words = lift.words_of_lines(_wrapped(lift.document_lines(documents)))
     words = words.withColumn("word_no", F.col("word_no") + F.col("n_before")).drop("n_before")
     left = F.when(F.col("col_no") == 0, _COLUMN[0]).otherwise(_COLUMN[1])
