@@ -98,6 +98,14 @@ def l2_normalized(vector: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(length > 0, length).otherwise(1.0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """To so many places, halves away from zero in binary as DuckDB does it; what rounds to zero keeps its sign, which F.round drops."""
+    y = x * 10.0**places
+    r = F.rint(y)  # halves to even
+    away = F.when((y > 0) & (y - r == 0.5), r + 1).when((y < 0) & (y - r == -0.5), r - 1).otherwise(r)
+    return away / 10.0**places
+
+
 def joined(left: Column, right: Column) -> Column:
     """Two pieces of text with a blank between, except behind an opening and before a closing mark."""
     tight = left.rlike(r"[(\[{“]$") | right.rlike(r"^[)\]}”,.;]")

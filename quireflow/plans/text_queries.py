@@ -132,7 +132,7 @@ def html_escape(spark, d):
     SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_reduce(list_prepend(0.0::DOUBLE, [x * x for x in embedding::DOUBLE[]]), lambda a, b: a + b)) AS n FROM embeddings)""")
 def embedding_l2_normalize(spark, d):
     rows = lift.read(spark, d, "embeddings")
-    return rows.select("vec_id", F.transform(T.l2_normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return rows.select("vec_id", F.transform(T.l2_normalized(F.col("embedding")), lambda x: T.rounded(x, 6)).alias("unit"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quireflow.functions import lines as L
 from quireflow.functions import text as T
 from quireflow.functions import words as W
+from quireflow.plans.catalogue import QUERIES, SQL
 
 
 def features(spark, text):
@@ -68,3 +69,18 @@ def test_sentences_keep_abbreviations(spark):
 def test_zero_vector_stays(spark):
     found = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>").select(T.l2_normalized(F.col("v"))).collect()
     assert [r[0] for r in found] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_rounding_keeps_the_sign_of_zero_as_sql_does(spark, tmp_path):
+    import math
+
+    import duckdb
+
+    vectors = [[-1e-8, 1.0], [1e-8, -1.0], [0.0, 0.0], [-0.0, 3.0], [0.0000005, 1.0], [-0.0000015, -1.0], [3.0, -4.0]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: r["unit"] for r in QUERIES["embedding_l2_normalize"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    signed = lambda unit: [(x, math.copysign(1, x)) for x in unit]
+    assert {k: signed(v) for k, v in found.items()} == {k: signed(v) for k, v in con.execute(SQL["embedding_l2_normalize"]).fetchall()}
+    assert signed(found[0])[0] == (0.0, -1.0)
