@@ -32,7 +32,7 @@ MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 # Patterns without look-around, for every engine
 PUNCT = r"!-/:-@\[-`{-~"
 TITLE = r"^[^\p{L}]*(?:\p{Lu}\p{Ll}*[^\p{L}]+)*\p{Lu}\p{Ll}*[^\p{L}]*$"
-UPPER, LOWER, ALPHA = r"\p{Lu}", r"\p{Ll}", r"^\p{L}+$"
+UPPER, LOWER, ALPHA, ALL_LOWER = r"\p{Lu}", r"\p{Ll}", r"^\p{L}+$", r"^\p{Ll}+$"
 NUMBER = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
 DATE = rf"^(?:{MONTHS}|0?[1-9]|1[0-2])-(?:0?[1-9]|[12][0-9]|3[01])(?:-(?:[0-9]{{4}}|[0-9]{{2}}))?$"
 DELIMITER = "[.;:]+[\"“‘’”' ]*$"

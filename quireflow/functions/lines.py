@@ -32,6 +32,22 @@ def ends_with_delimiter(text: Column) -> Column:
     return text.rlike(K.DELIMITER) & ~text.rlike(K.NOT_DELIMITER)
 
 
+def may_be_header(text: Column) -> Column:
+    """False only for lines that are no header, told by few steps: most lines of prose need no features then.
+
+    A header begins with a per cent sign or a number, or is numbered, or begins with a capital and has fewer than ten
+    effective words, more than nine tenths of them titles: so few words of small letters that are no stop words, and
+    for nearly each of them a capital letter. It has two commas only behind "section".
+    """
+    t = F.trim(text)
+    first = W.cleaned(F.call_function("substring_index", t, F.lit(" "), F.lit(1)), F.lit(0))
+    small = F.size(F.filter(F.split(t, " "), lambda w: ~w.isin(*K.STOP_WORDS) & w.rlike(K.ALL_LOWER)))
+    capitals = F.length(t) - F.length(F.regexp_replace(t, K.UPPER, ""))
+    few_commas = (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) <= 1) | F.lower(t).startswith("section")
+    titles = t.rlike(r"^\p{Lu}") & few_commas & (small < 10) & (capitals >= 0.9 * small)
+    return t.startswith("%") | t.rlike("^[0-9]") | numbered_kind(first).isNotNull() | titles
+
+
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with a struct column `f` of each line's features and `line_type`. Lines without a token have none."""
     count = lambda pred: F.size(F.filter("_w", pred)).cast("long")

@@ -104,7 +104,10 @@ def line_list_item(spark, d):
 
 @query(f"WITH {S.FEATURES} SELECT doc_id, line_no, text FROM features WHERE header")
 def line_header(spark, d):
-    return _features(spark, d).filter("header").select("doc_id", "line_no", "text")
+    lines = _lines(spark, d).filter(L.may_be_header(F.col("text")))
+    # a filter on `header` would take the place of the steps it is made of, and work each of them out many times
+    kept = F.explode_outer(F.when(F.col("header"), F.array("text"))).alias("text")
+    return L.with_features(lines).select("doc_id", "line_no", kept).filter("text IS NOT NULL")
 
 
 @query(f"WITH {S.STATEMENT_FEATURES} SELECT doc_id, line_no, n_values, table_row FROM features WHERE role = 'row'")

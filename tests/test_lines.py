@@ -84,3 +84,12 @@ def test_rounding_keeps_the_sign_of_zero_as_sql_does(spark, tmp_path):
     signed = lambda unit: [(x, math.copysign(1, x)) for x in unit]
     assert {k: signed(v) for k, v in found.items()} == {k: signed(v) for k, v in con.execute(SQL["embedding_l2_normalize"]).fetchall()}
     assert signed(found[0])[0] == (0.0, -1.0)
+
+
+def test_prose_is_told_from_headers_before_its_features(spark):
+    """No header is left out, and lines of prose are."""
+    heads = ["Audit Rights", "% of all", "4. 400 WESTLAKE PROJECT", "(b) The Terms", "iv. Closing", "a) Rest", "Of The And", "Note: and so on", "SECTION 3, a, b", "Ärzte Und Äpfel", "1 x"]
+    prose = ["The parties agree to the terms that are set out below.", "and the rest of it", "Some of the goods, which were sold, were sent back late in the year", "Every small line begins with one large letter", "", None]
+    rows = spark.createDataFrame([(t,) for t in heads + prose], "text string").withColumn("may", L.may_be_header(F.col("text")))
+    assert {r["text"] for r in rows.filter("may").collect()} == set(heads)
+    assert {r["text"] for r in L.with_features(rows).filter("header AND NOT may").collect()} == set()
