@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.sources.shared import cut
-
 # How near cells align, a tight gap in heights, words of a long line, rows of a table
 ALIGN, TIGHT, LONG, LEAST_ROWS = 5.0, 1.5, 10, 2
 #: Blocks of a stretch.
@@ -94,20 +92,32 @@ def with_letters(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("letter", letter).drop("_p", "_pp", "_gap")
 
 
-def with_states(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """doc_id, block_idx, is_row, letter, before, state: each block's letter and the states before and behind it."""
-    order = F.array_sort(F.collect_list(F.struct("block_idx", "letter", "is_row")))
-    rows = cut(rows.select("doc_id", "block_idx", "letter", "is_row"))
+def with_states(rows: DataFrame, stretch: int = STRETCH, others=()) -> DataFrame:
+    """doc_id, block_idx, is_row, letter, before, state and others: each block's letter and the states before and behind it.
+
+    A document's stretches meet their first states by document, where they are; nothing is written in between.
+    """
+    order = F.array_sort(F.collect_list(F.struct("block_idx", "letter", "is_row", *others)))
     parts = rows.withColumn("part", F.expr(f"block_idx DIV {stretch}")).groupBy("doc_id", "part").agg(order.alias("bs"))
     one_by_one = F.array(*map(F.lit, range(7)))
     maps = parts.select("doc_id", "part", F.aggregate("bs", one_by_one, lambda m, b: F.transform(m, lambda s: _moved(s, b["letter"]))).alias("moves"))
     docs = maps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "moves"))).alias("ps"))
-    starts = F.aggregate("ps", F.array(F.lit(_OUT)), lambda s, p: F.array_append(s, F.get(p["moves"], F.element_at(s, -1))))
-    first = docs.select("doc_id", F.explode(F.arrays_zip(F.transform("ps", lambda p: p["part"]).alias("part"), F.slice(starts, F.lit(1), F.size("ps")).alias("start"))).alias("z")).select("doc_id", "z.part", "z.start")
-    walked = F.aggregate("bs", F.array("start"), lambda s, b: F.array_append(s, _moved(F.element_at(s, -1), b["letter"])))
-    steps = parts.join(first, ["doc_id", "part"]).withColumn("s", walked)
+    starts = docs.select("doc_id", F.aggregate("ps", F.array(F.lit(_OUT)), lambda s, p: F.array_append(s, F.get(p["moves"], F.element_at(s, -1)))).alias("starts"))
+    walked = F.aggregate("bs", F.array(F.get("starts", F.col("part").cast("int"))), lambda s, b: F.array_append(s, _moved(F.element_at(s, -1), b["letter"])))
+    steps = parts.join(starts, "doc_id").withColumn("s", walked)
     steps = steps.select("doc_id", "s", F.posexplode("bs").alias("k", "b"))
-    return steps.select("doc_id", "b.block_idx", "b.is_row", "b.letter", F.get("s", F.col("k")).alias("before"), F.get("s", F.col("k") + 1).alias("state"))
+    return steps.select("doc_id", "b.*", F.get("s", F.col("k")).alias("before"), F.get("s", F.col("k") + 1).alias("state"))
+
+
+def _in_spans(blocks: DataFrame, stretch: int, others=()) -> DataFrame:
+    """The blocks that are in a table's reach, with the number of its span in the document."""
+    states = with_states(with_letters(blocks), stretch, others)
+    opens = (F.col("letter") == BREAK) | ((F.col("letter") == ROW) & (F.col("before") == _OUT))
+    past = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return states.withColumn("span", F.sum(opens.cast("int")).over(past)).filter((F.col("state") != _OUT) & (F.col("span") > 0))
+
+
+_END = lambda: F.max(F.when(F.col("is_row") | (F.col("letter") == ALIGNED), F.col("block_idx")))
 
 
 def table_spans(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -115,11 +125,14 @@ def table_spans(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
     Blocks need doc_id and block_idx from 0 without gaps; rows without cells count as rows of no cell.
     """
-    states = with_states(with_letters(blocks), stretch)
-    opens = (F.col("letter") == BREAK) | ((F.col("letter") == ROW) & (F.col("before") == _OUT))
-    past = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    spans = states.withColumn("span", F.sum(opens.cast("int")).over(past)).filter((F.col("state") != _OUT) & (F.col("span") > 0))
-    ends = F.max(F.when(F.col("is_row") | (F.col("letter") == ALIGNED), F.col("block_idx")))
-    found = spans.groupBy("doc_id", "span").agg(F.min("block_idx").alias("first_block"), ends.alias("last_block"), F.count_if("is_row").alias("n_rows"))
+    found = _in_spans(blocks, stretch).groupBy("doc_id", "span").agg(F.min("block_idx").alias("first_block"), _END().alias("last_block"), F.count_if("is_row").alias("n_rows"))
     others = F.col("last_block") - F.col("first_block") + 1 - F.col("n_rows")
     return found.filter(F.col("n_rows") >= LEAST_ROWS).select("doc_id", "first_block", "last_block", "n_rows", others.alias("n_others"))
+
+
+def with_spans(blocks: DataFrame, others: list, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, first_block, block_idx, is_row and others of the blocks of the tables that table_spans() finds."""
+    w = Window.partitionBy("doc_id", "span")
+    rows = _in_spans(blocks, stretch, others)
+    rows = rows.withColumns({"first_block": F.min("block_idx").over(w), "last_block": _END().over(w), "n_rows": F.count_if("is_row").over(w)})
+    return rows.filter((F.col("n_rows") >= LEAST_ROWS) & (F.col("block_idx") <= F.col("last_block"))).select("doc_id", "first_block", "block_idx", "is_row", *others)
