@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.sources.shared import cut
+from quireflow.sources.shared import stored
 
 from .levels import let
 from .tables import is_numericish
@@ -114,11 +114,10 @@ def built(lines: DataFrame, page_width: float = 612.0) -> DataFrame:
     columns. The first row is a header when it has two texts and few numbers. Tables without columns of their own give
     none; two texts in one column are one cell.
     """
-    lines = cut(lines)
-    small = cut(evaluated(lines).filter("n_cols = 2").select(*KEYS))
-    if not small.isEmpty():
-        lines = cut(lines.join(small, KEYS, "left_anti").unionByName(compacted(lines.join(small, KEYS, "left_semi"))))
-    rows = cut(lines.join(column_spans(lines, page_width), KEYS))
+    n_cols = F.max(F.when(F.col("is_row"), F.size("cells")).otherwise(1)).over(Window.partitionBy(*KEYS))
+    lines = stored(lines.select(*KEYS, "line_no", "is_row", "top", "bottom", "cells").withColumn("n_cols", n_cols))
+    lines = lines.filter("n_cols <> 2").drop("n_cols").unionByName(compacted(lines.filter("n_cols = 2").drop("n_cols")))
+    rows = lines.join(column_spans(lines, page_width), KEYS)
     rows = rows.withColumn("placed", F.transform("cells", lambda c: _covered(c, F.col("cols"))))
     w = Window.partitionBy(*KEYS).orderBy("line_no")
     above, below = F.col("top") - F.lag("bottom").over(w), F.lead("top").over(w) - F.col("bottom")
