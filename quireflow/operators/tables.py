@@ -14,6 +14,7 @@ BIN, CHANNEL, CROSSING, FILL = 2.0, 4.0, 0.12, 0.35
 STACK_GAP, STITCH_GAP, STITCH_SHIFT = 1.8, 40, 4
 SYMBOLS = ("$", "€", "£", "¥")
 NUMERIC = r"^[($-]*[0-9][0-9,]*\.?[0-9]*[)%]*$"
+YEAR = r"^(?:19|20)[0-9]{2}$"
 
 
 def _cuts(of: np.ndarray, line: np.ndarray, x0: np.ndarray, x1: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def assigned_cells(words: DataFrame, cuts: DataFrame, keys=("doc_id",)) -> DataF
 
 def is_numericish(text: Column) -> Column:
     """A number, an amount or a share; a year is none."""
-    return text.rlike(NUMERIC) & ~text.rlike("^(?:19|20)[0-9]{2}$")
+    return text.rlike(NUMERIC) & ~text.rlike(YEAR)
 
 
 def islands_by_gap(rows: DataFrame, gap: Column, by: list, order: list, name: str) -> DataFrame:

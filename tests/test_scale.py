@@ -105,3 +105,97 @@ def test_ids_that_lead_into_a_cycle():
     assert n(["a", "b", "c"], [None, "a", "x"]) == 0 and n([], []) == 0 and n([None, "b"], ["b", None]) == 0
     assert n(["a", "b", "c", "d"], ["b", "a", "a", None]) == 3 and n(["a"], ["a"]) == 1 and n(["a", "a"], [None, "a"]) == 0
     assert n([str(k) for k in range(3000)], [str(k + 1) for k in range(2999)] + ["2990"]) == 3000
+
+
+@pytest.mark.parametrize("name", ["page_regions", "claimed_words"])
+def test_pages_are_brought_together_by_lines(spark, name):
+    """Lines go out by part and by order; words are neither moved nor written, and no round asks whether words are left."""
+    found = plan(QUERIES[name](spark, DIR))
+    moved = [x.split("hashpartitioning(")[1].split(")")[0] for x in found.split("\n") if "Exchange hashpartitioning(" in x]
+    assert "MapInArrow" in found and "ExistingRDD" not in found and "Join" not in found[: found.index("Union")]
+    assert moved and not [x for x in moved if x.count(",") > 1 or x.startswith("doc_id")], moved
+
+
+def test_words_of_texts_are_those_of_lines(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quireflow.sources import lift
+
+    texts = ["one two", "  led  by   blanks ", "", " ", None, "\ttab\tis a letter ", "x", "ünï 😀😀 z", "w " * 40, "a" * 70 + "  b"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "no long, text string").withColumn("left", F.col("no") * 7.5)
+    want = sorted((r["no"], r["word_no"], r["word"], r["x0"], r["x1"]) for r in lift.words_of_lines(lines, F.col("left")).collect())
+    no, word_no, word, letters, x0, x1 = lift.words_of_texts(pa.array(texts), np.arange(len(texts)) * 7.5)
+    assert list(zip(no.tolist(), word_no.tolist(), word.to_pylist(), x0.tolist(), x1.tolist(), strict=True)) == want
+    assert letters.tolist() == [len(w) for w in word.to_pylist()] and len(lift.words_of_texts(pa.array([""]), np.zeros(1))[0]) == 0
+
+
+def test_pages_at_once_are_those_one_by_one():
+    """Random pages of words, one line or thirty: regions and claims of all are those of each, claims those of a plain loop."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quireflow.operators import regions
+
+    rng = random.Random(5)
+    rows, boxes = [], []
+    for doc in range(150):
+        places, top = sorted(rng.sample(range(60, 560, 20), rng.choice([2, 3, 4]))), 50.0
+        for line in range(rng.choice([1, 3, 6, 14, 30])):
+            top += rng.choice([12, 12, 14, 30, 50])
+            cells = [(x, rng.choice(["12", "3.10", "1999", "name"])) for x in places if rng.random() < 0.9] if rng.random() < 0.7 else [(72 + 33 * k, "prose") for k in range(rng.choice([1, 3, 14]))]
+            rows += [(doc, line, w, x, x + rng.choice([5.0, 6.0]) * len(w), top, top + 10) for x, w in cells]
+        boxes += [(doc, k, 0.0, a := rng.uniform(0, 200), 600.0, a + rng.uniform(20, 200)) for k in rng.sample(range(5), rng.randrange(5))]
+    names = ("of", "line", "word", "x0", "x1", "top", "bottom")
+
+    def words(some):
+        w = {n: pa.array(c) if n == "word" else np.array(c) for n, c in zip(names, zip(*some, strict=True), strict=True)}
+        return w | {"letters": np.array([len(r[2]) for r in some])}
+
+    def found(some):
+        return sorted((int(d), int(r), *b.tolist()) for d, r, b in zip(*(regions.found(words(some))[k] for k in (0, 1)), regions.found(words(some))[2].T, strict=True))
+
+    alone = [[r for r in rows if r[0] == doc] for doc in range(150)]
+    assert found(rows) == [x for one in alone for x in found(one)] and len(found(rows)) > 40
+    of, priority, *box = (np.array(c) for c in zip(*boxes, strict=True))
+    word, candidate = regions.claims(words(rows), np.arange(len(rows)), of, priority, np.stack(box))
+    want, taken = set(), set()
+    for c in sorted(range(len(boxes)), key=lambda c: boxes[c][:2]):
+        doc, _, x0, top, x1, bottom = boxes[c]
+        held = [k for k, r in enumerate(rows) if r[0] == doc and k not in taken and x0 <= (r[3] + r[4]) / 2 <= x1 and top <= (r[5] + r[6]) / 2 <= bottom]
+        if len(held) >= regions.LEAST_WORDS:
+            taken.update(held)
+            want.update((k, c) for k in held)
+    assert set(zip(word.tolist(), candidate.tolist(), strict=True)) == want and len(want) > 500
+
+
+def test_batches_in_pieces_of_whole_documents():
+    import pyarrow as pa
+
+    from quireflow.operators import batches
+
+    xs = [[{"a": 10 * d + k} for k in range(n)] for d, n in enumerate((3, 0, 9, 1, 1, 0, 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(xs, pa.list_(pa.struct([("a", pa.int64())])))], ["doc_id", "xs"])
+    parts = list(batches.pieces(batch, rows=4))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5, 6]]
+    assert [batches.flat(p)[1]["a"].to_pylist() for p in parts] == [[0, 1, 2], list(range(20, 29)), [30, 40, 60, 61]]
+    assert batches.flat(parts[2])[0].tolist() == [0, 1, 3, 3]
+
+
+def test_rows_that_stand_together_are_stacked_by_document():
+    import pyarrow as pa
+
+    from quireflow.operators import batches
+
+    def rows(ids, n=None):
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "x": pa.array(ids, pa.int64()), "n": pa.array(n or [{7: 5, 3: 1, 4: 2, 9: 9}[i] for i in ids], pa.int64())})
+
+    parts = list(batches.stacked(iter([rows([7, 7]), rows([]), rows([7, 7]), rows([7, 3, 4]), rows([4, *[9] * 4]), rows([9] * 5)]), "n", rows=4))
+    assert [p.column(0).to_pylist() for p in parts] == [[7, 3], [4], [9]]
+    assert [[len(x) for x in p.column(1).to_pylist()] for p in parts] == [[5, 1], [2], [9]]
+    assert [batches.flat(p)[1]["x"].to_pylist() for p in parts] == [[7] * 5 + [3], [4, 4], [9] * 9]
+    assert list(batches.stacked(iter([]), "n")) == list(batches.stacked(iter([rows([])]), "n")) == []
+    with pytest.raises(ValueError):
+        list(batches.stacked(iter([rows([7, 3, 7], [2, 1, 2])]), "n"))
