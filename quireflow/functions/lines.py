@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
 from . import words as W
+from .features import FEATURES, of_texts
 
 
 def enumerator(word: Column) -> tuple[Column, Column]:
@@ -48,95 +50,14 @@ def may_be_header(text: Column) -> Column:
     return t.startswith("%") | t.rlike("^[0-9]") | numbered_kind(first).isNotNull() | titles
 
 
-def with_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct column `f` of each line's features and `line_type`. Lines without a token have none."""
-    count = lambda pred: F.size(F.filter("_w", pred)).cast("long")
-    df = df.withColumn("_text", F.trim(text)).filter("_text <> ''").withColumn("_t", W.tokens(F.col("_text")))
-    df = df.withColumn("_w", F.transform("_t", W.cleaned))
-    df = df.withColumn("_num", W.numeric_parts(F.col("_w"))).withColumn("_n", F.transform("_num", lambda n, i: n.isNotNull() & ~W.is_year_part(n, F.get("_w", i))))
-    df = df.withColumn("_first", F.element_at("_t", 1)).withColumn("_last", F.element_at("_t", -1)).withColumn("_lastw", F.element_at("_w", -1))
-    colon = F.filter(F.transform("_t", lambda t, i: F.when(t.contains(":"), i)), lambda i: i.isNotNull())
-    stops = F.transform("_w", lambda w, i: W.is_stop_word(w) & (F.coalesce(F.get("_colon", F.lit(0)), F.lit(1 << 30)) > i))
-    df = df.withColumn("_colon", colon)
-    df = df.withColumns(
-        {
-            "n_words": F.size("_t").cast("long"),
-            "n_title": count(W.is_title),
-            "n_alpha": count(lambda w: w.rlike(K.ALPHA)),
-            "n_stop": F.size(F.filter(stops, lambda b: b)).cast("long"),
-            "n_number": F.size(F.filter("_n", lambda n: n)).cast("long"),
-            "n_dollar": count(W.is_dollar),
-            "n_percent": count(W.is_percent),
-            "n_date": count(W.is_date),
-            "n_dollar_sign": F.size(F.filter("_t", lambda t: t == "$")).cast("long"),
-            "kind": numbered_kind(F.element_at("_w", 1)),
-            "period": F.col("_text").endswith(".") & ~F.col("_last").isin(*K.HONORIFICS),
-            "delimiter": ends_with_delimiter(F.col("_text")),
-            "last_number": F.element_at("_n", -1) | W.is_dollar(F.col("_lastw")) | W.is_percent(F.col("_lastw")),
-            "last_date": W.is_date(F.col("_lastw")),
-            "last_stop": W.is_stop_word(F.col("_lastw")) & (F.length("_lastw") > 1) & ~W.is_upper(F.col("_lastw")),
-            "bullet": F.substring("_text", 1, 1).isin(*K.BULLETS),
-            "state": F.col("_text").rlike(rf"(?i), *(?:{'|'.join(K.STATES)})[{K.PUNCT}]?(?: |$)"),
-        }
-    )
-    df = df.withColumns(
-        {
-            "numbered": F.col("kind").isNotNull(),
-            "eff_words": F.col("n_alpha") - F.col("n_stop"),
-        }
-    ).withColumn("title_ratio", F.when(F.col("eff_words") > 0, F.col("n_title") / F.col("eff_words")).otherwise(1.0))
-    zipped = (F.col("n_words") < 7) & F.col("state") & F.col("_last").rlike("^[0-9]{5}$|^[0-9]{5}-[0-9]{4}$") & ~F.col("period")
-    pobox = (F.col("n_words") == 3) & F.col("last_number") & F.lower("_first").isin("po", "p.o", "p.o.")
-    first, second = F.col("_first"), F.get("_w", F.lit(1))
-    digits = F.col("_last").rlike("^[0-9]+$")
-    titles = (F.col("title_ratio") > 0.9) & (F.col("eff_words") < 10)
-    all_upper = W.is_upper(F.col("_text"))
-    structure = ((F.lower(first).isin(*K.HEADER_LEADS) | titles) & (F.col("n_number") == 1)) | F.col("numbered") | all_upper
-    continuing = ~F.col("numbered") & F.col("_text").rlike(r"^\p{Ll}|^[" + "".join("\\" + c for c in K.CONTINUING) + "]")
-    page_number = (F.size(F.filter("_w", lambda w: F.lower(w).startswith("page"))) > 0) & (F.col("n_number") == 1)
-    df = df.withColumns({"zip_or_po": zipped | pobox, "structure": structure, "continuing": continuing})
-    sentence = F.col("period") & ~(F.col("structure") & (F.col("title_ratio") > 0.9)) & F.col("delimiter")
-    plain = (
-        ~sentence
-        & ~F.col("bullet")
-        & ~F.col("_text").startswith(K.FOOTNOTE)
-        & titles
-        & ~(F.lower("_last").isin(*K.UNITS) | (F.col("last_number") & ~F.col("structure")))
-        & ((F.col("n_number") == 0) | (F.col("structure") & (F.col("n_number") <= 1)))
-        & ~F.col("continuing")
-        & ~(F.col("last_date") & ~F.col("structure"))
-        & F.element_at("_w", 1).rlike(r"^\p{Lu}")
-        & ~F.col("last_stop")
-        & ~F.col("zip_or_po")
-        & ~(F.col("_last").rlike(rf"[{K.PUNCT}“]$") & ~F.col("_last").rlike(r"[:?.)\]%]$") & F.col("delimiter"))
-        & ~F.col("_text").contains("://")
-        & ~page_number
-    )
-    commas = F.lower("_text").startswith("section") | (F.length(F.regexp_replace("_text", "[^,]", "")) <= 1)
-    header = (
-        F.when(F.col("_text").startswith("%"), True)
-        .when(F.col("_text").rlike(r"^[0-9]+\.\s+(?:[0-9]+|[A-Z])"), True)
-        .when(F.col("numbered") & F.coalesce(second.rlike(r"^[0-9]+$|^\p{Lu}"), F.lit(False)), True)
-        .when(digits & (F.col("n_words") < 5), False)
-        .otherwise(plain & commas)
-    )
-    df = df.withColumn("header", header)
-    values = F.col("n_number") + F.col("n_dollar") + F.col("n_percent") + F.size(F.split("_text", " - ")) - 1
-    df = df.withColumn("n_values", values.cast("long"))
-    words = F.greatest(F.col("n_words") - F.col("n_dollar_sign"), F.lit(1))
-    ratio = (F.col("n_values") + F.col("n_title") + F.col("n_date")) / words
-    row = ((F.col("n_values") > 0) | (F.col("n_date") > 0)) & (ratio > 0.7) & ~F.col("period") & ~F.col("zip_or_po") & ~F.col("last_stop")
-    df = df.withColumn("table_row", ~F.col("header") & (row | F.col("_text").contains("....")))
-    df = df.withColumn("list_item", F.col("bullet") & ~first.rlike(r"[:?.)\]%$]$"))
-    kind = F.when(F.col("table_row"), "table_row").when(F.col("header"), "header").when(F.col("list_item") | F.col("numbered"), "list_item").otherwise("para")
-    first_alpha = F.filter(F.transform("_t", lambda t: F.regexp_replace(t, r"^[.,;:()\[\]\"']+", "")), lambda t: t.rlike(r"^\p{L}"))
-    separate = F.col("header") | F.col("table_row") | F.col("list_item") | F.col("zip_or_po")
-    prose = (
-        F.col("_text").endswith(",")
-        | F.col("_last").isin(*K.CONJUNCTIONS)
-        | (F.col("continuing") & ~separate)
-        | F.coalesce(F.get(first_alpha, F.lit(0)).rlike(r"^\p{Ll}"), F.lit(False))
-        | F.lower("_text").rlike(r"^(?:whereas|now,? therefore)\b")
-    )
-    df = df.withColumn("line_type", kind).withColumn("prose", prose)
-    return df.drop("_t", "_w", "_num", "_n", "_first", "_last", "_lastw", "_colon", "_text")
+def with_features(df: DataFrame, text: str = "text", only=tuple(FEATURES)) -> DataFrame:
+    """df with each line's features, or some of them, among them `line_type`. Lines without a token are left out."""
+    typed = ", ".join(f"{c} {FEATURES[c]}" for c in only)
+
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in of_texts(texts, only).values()], names=list(only))
+
+    # not deterministic for the plan: a filter on a feature would else be worked out for itself, before all others
+    features = F.arrow_udf(found, f"struct<{typed}>").asNondeterministic()
+    rows = df.filter(F.trim(text) != "").withColumn("_f", features(text))
+    return rows.select(*[c for c in df.columns if c not in only], *[F.col("_f")[c].alias(c) for c in only])
