@@ -36,3 +36,10 @@ def test_features_are_those_of_the_sql(monkeypatch):
 def test_features_of_statements_are_worked_out_in_batches(spark):
     found = plan(QUERIES["statement_line_features"](spark, DIR))
     assert found.count("ArrowEvalPython") == 1 and "RLIKE" not in found
+
+
+@pytest.mark.parametrize("name", ["line_numbered"])
+def test_filters_do_not_work_features_out_again(spark, name):
+    """A filter on a feature stands behind the features, and takes none of their steps in front of them."""
+    found = plan(QUERIES[name](spark, DIR))
+    assert found.count("ArrowEvalPython") == 1 and "RLIKE" not in found and found.index("Filter") < found.index("ArrowEvalPython")
