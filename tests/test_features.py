@@ -38,7 +38,7 @@ def test_features_of_statements_are_worked_out_in_batches(spark):
     assert found.count("ArrowEvalPython") == 1 and "RLIKE" not in found
 
 
-@pytest.mark.parametrize("name", ["line_numbered"])
+@pytest.mark.parametrize("name", ["line_numbered", "line_prose_continuation"])
 def test_filters_do_not_work_features_out_again(spark, name):
     """A filter on a feature stands behind the features, and takes none of their steps in front of them."""
     found = plan(QUERIES[name](spark, DIR))
