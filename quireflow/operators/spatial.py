@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 SLACK, INSIDE = 0.01, 0.9
 
 
-def intersection(a: str, b: str) -> Column:
-    """Shared area of the boxes with the columns of two aliases."""
-    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(f"{a}.{hi}"), F.col(f"{b}.{hi}")) - F.greatest(F.col(f"{a}.{lo}"), F.col(f"{b}.{lo}")))
+def _side(a: str | Column, c: str) -> Column:
+    return F.col(f"{a}.{c}") if isinstance(a, str) else a[c]
+
+
+def intersection(a: str | Column, b: str | Column) -> Column:
+    """Shared area of the boxes with the columns of two aliases, or of two structs."""
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(_side(a, hi), _side(b, hi)) - F.greatest(_side(a, lo), _side(b, lo)))
     return side("left", "right") * side("top", "bottom")
 
 
-def area(a: str) -> Column:
-    return (F.col(f"{a}.right") - F.col(f"{a}.left")) * (F.col(f"{a}.bottom") - F.col(f"{a}.top"))
+def area(a: str | Column) -> Column:
+    return (_side(a, "right") - _side(a, "left")) * (_side(a, "bottom") - _side(a, "top"))
 
 
 def smallest_around(points: DataFrame, boxes: DataFrame, ids: list, by: str = "doc_id") -> DataFrame:

@@ -23,8 +23,8 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return L.with_features(_lines(spark, d))
 
 
-def _statements(spark: SparkSession, d: str) -> DataFrame:
-    lines = lift.statement_lines(spark, d).withColumnRenamed("kind", "role")
+def _statements(spark: SparkSession, d: str, kept: str = "true") -> DataFrame:
+    lines = lift.statement_lines(spark, d).filter(kept).withColumnRenamed("kind", "role").withColumn("text", F.trim("text"))
     return L.with_features(lines)
 
 

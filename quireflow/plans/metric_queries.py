@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.operators import hierarchy as H
+from quireflow.operators import layouts as LO
 from quireflow.operators import metrics as M
 from quireflow.sources import lift
 
 from . import sql as S
 from .block_queries import _BLOCKS, _NODES, _blocks, _nodes
-from .document_queries import _LABELLED, _TOKENS, _labelled, _points, _units, _UNITS
+from .document_queries import _LABELLED, _TOKENS, _labelled, _lost_words, _of_statements, _units, _UNITS
 from .layout_queries import _swords
 from .line_queries import _features
 from .registry import query
@@ -73,24 +75,28 @@ def export_metrics(spark, d):
 
 @query(f"WITH {_TOKENS}, a AS (SELECT doc_id, count(*) AS n FROM pt GROUP BY doc_id), h AS (SELECT doc_id, count(*) AS m FROM held GROUP BY doc_id) SELECT doc_id, n::BIGINT AS n_tokens, round(coalesce(m, 0) / n, 6) AS coverage FROM a LEFT JOIN h USING (doc_id)")
 def token_coverage(spark, d):
-    from quireflow.operators import spatial as SP
+    def made(lines, b, w):
+        of, n = np.unique(w["of"], return_counts=True)
+        held = np.bincount(w["of"][LO.of_words(w, lines[2], b)[0]], minlength=of[-1] + 1 if len(of) else 0)
+        return of, n, held[of]
 
-    points = _points(spark, d)
-    held = SP.smallest_around(points, _blocks(spark, d), ["doc_id", "line_no", "cell_no", "word_no"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-    every = points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return every.join(held, "doc_id", "left").select("doc_id", "n_tokens", M.ratio(F.coalesce("m", F.lit(0)), F.col("n_tokens")).alias("coverage"))
+    lost = _lost_words(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.lit(0).cast("long").alias("m"))
+    every = _of_statements(spark, d, made, "n_tokens long, m long").union(lost)
+    return every.select("doc_id", "n_tokens", M.ratio(F.col("m"), F.col("n_tokens")).alias("coverage"))
 
 
 @query(f"""WITH {_BLOCKS}, {S.STATEMENT_WORDS.split(S.STATEMENTS, 1)[1].lstrip(',')}, a AS (SELECT s.doc_id, bl.block_idx, sum((x1 - x0) * s.size) AS covered FROM swords s JOIN bl ON s.doc_id = bl.doc_id AND s.line_no = bl.line_no GROUP BY ALL)
     SELECT k.doc_id, k.block_idx, round(covered / ((r - l) * (b - t)), 6) AS tightness, covered / ((r - l) * (b - t)) < 0.5 AS loose FROM blocks k JOIN a USING (doc_id, block_idx)""")
 def bbox_tightness(spark, d):
     """Share of a block's box that its words fill."""
-    from .block_queries import _lined
+    def made(lines, b, w):
+        area, n = LO.covered(w, *lines, len(b["of"]))
+        some = np.flatnonzero(n)
+        return b["of"][some], b["idx"][some], area[some], *(b[c][some] for c in ("left", "top", "right", "bottom"))
 
-    words = _swords(spark, d).select("doc_id", "line_no", ((F.col("x1") - F.col("x0")) * F.col("size")).alias("area"))
-    covered = words.join(_lined(spark, d).select("doc_id", "line_no", "block_idx"), ["doc_id", "line_no"]).groupBy("doc_id", "block_idx").agg(F.sum("area").alias("covered"))
+    blocks = _of_statements(spark, d, made, "block_idx long, covered double, left double, top double, right double, bottom double")
     t = F.col("covered") / ((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")))
-    return _blocks(spark, d).join(covered, ["doc_id", "block_idx"]).select("doc_id", "block_idx", F.round(t, 6).alias("tightness"), (t < 0.5).alias("loose"))
+    return blocks.select("doc_id", "block_idx", F.round(t, 6).alias("tightness"), (t < 0.5).alias("loose"))
 
 
 @query("""WITH p AS (SELECT doc_id, regexp_matches(coalesce(text, ''), '!!|%%%|###|\\| ') AS bad FROM documents), j AS (SELECT quality, CASE WHEN bad THEN 0 ELSE 1 END AS guess FROM labels JOIN p USING (doc_id)),
