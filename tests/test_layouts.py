@@ -63,3 +63,8 @@ def test_holders_are_those_of_a_plain_loop(monkeypatch):
 def test_words_in_blocks(spark, odd):
     same(spark, "token_in_block", odd)
     words_stay(spark, "token_in_block")
+
+
+def test_words_in_no_block(spark, odd):
+    same(spark, "unclaimed_words", odd)
+    words_stay(spark, "unclaimed_words")
