@@ -68,3 +68,8 @@ def test_words_in_blocks(spark, odd):
 def test_words_in_no_block(spark, odd):
     same(spark, "unclaimed_words", odd)
     words_stay(spark, "unclaimed_words")
+
+
+def test_share_of_words_in_blocks(spark, odd):
+    same(spark, "token_coverage", odd)
+    words_stay(spark, "token_coverage")
