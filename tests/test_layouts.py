@@ -73,3 +73,8 @@ def test_words_in_no_block(spark, odd):
 def test_share_of_words_in_blocks(spark, odd):
     same(spark, "token_coverage", odd)
     words_stay(spark, "token_coverage")
+
+
+def test_blocks_that_hold_other_words(spark, odd):
+    same(spark, "unfaithful_blocks", odd)
+    words_stay(spark, "unfaithful_blocks")
