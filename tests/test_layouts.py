@@ -78,3 +78,8 @@ def test_share_of_words_in_blocks(spark, odd):
 def test_blocks_that_hold_other_words(spark, odd):
     same(spark, "unfaithful_blocks", odd)
     words_stay(spark, "unfaithful_blocks")
+
+
+def test_share_of_boxes_that_words_fill(spark, odd):
+    same(spark, "bbox_tightness", odd)
+    words_stay(spark, "bbox_tightness")
