@@ -83,3 +83,9 @@ def test_blocks_that_hold_other_words(spark, odd):
 def test_share_of_boxes_that_words_fill(spark, odd):
     same(spark, "bbox_tightness", odd)
     words_stay(spark, "bbox_tightness")
+
+
+def test_blocks_in_table_regions(spark, odd):
+    same(spark, "block_overlap", odd)
+    by, found = moved(spark, "block_overlap")
+    assert "SortMergeJoin" not in found and "Union" in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
