@@ -89,3 +89,9 @@ def test_blocks_in_table_regions(spark, odd):
     same(spark, "block_overlap", odd)
     by, found = moved(spark, "block_overlap")
     assert "SortMergeJoin" not in found and "Union" in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
+
+
+def test_headings_above(spark, odd):
+    same(spark, "asof_heading", odd)
+    by, found = moved(spark, "asof_heading")
+    assert "SortMergeJoin" not in found and "Union" in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
