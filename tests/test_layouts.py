@@ -95,3 +95,9 @@ def test_headings_above(spark, odd):
     same(spark, "asof_heading", odd)
     by, found = moved(spark, "asof_heading")
     assert "SortMergeJoin" not in found and "Union" in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
+
+
+def test_images_at_blocks(spark, odd):
+    same(spark, "image_attach", odd)
+    by, found = moved(spark, "image_attach")
+    assert "SortMergeJoin" not in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
