@@ -101,3 +101,9 @@ def test_images_at_blocks(spark, odd):
     same(spark, "image_attach", odd)
     by, found = moved(spark, "image_attach")
     assert "SortMergeJoin" not in found and found.count("ArrowEvalPython") == 1  # a statement's lines are made once
+
+
+def test_rules_of_exports(spark, odd):
+    same(spark, "export_invariants", odd)
+    by, found = moved(spark, "export_invariants")
+    assert "LeftAnti" not in found and found.count("ArrowEvalPython") == 1  # blocks are made once for all rules
